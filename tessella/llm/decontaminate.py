@@ -15,9 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from tessella.llm.fm_index import FMIndex
 
@@ -26,6 +25,8 @@ WINDOW = 13
 _FOLD = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 SHARD_SYMBOLS = 1 << 17
 SHARD_DOCS = 20_000
+#: Texts are held beside a shard only while their rows are to be returned whole.
+SHARD_BYTES = 1 << 25
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -120,23 +121,23 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_SCHEMA = "n_words long, spans array<struct<start:long,end:long>>, items array<long>"
+_FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<long>>"
 
 
 def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema, shard_symbols: int) -> Iterator[pa.RecordBatch]:
-    shard, held = _Shard(phrases), []
+    """Rows (row, text, found) with what this block of phrases finds merged into found; the schema's columns are returned."""
+    shard, held, size = _Shard(phrases), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        found = iter(shard.found())
+        results = iter(shard.found())
         for batch, n_words in held:
-            spans, items = [], []
-            for before, had in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist()):
-                s, i = next(found)
-                spans.append([{"start": a, "end": b} for a, b in merged([(x["start"], x["end"]) for x in before] + s)])
-                items.append(sorted(set(had) | i))
-            columns = {"n_words": n_words, "spans": spans, "items": items}
-            arrays = [pa.array(columns[f.name], f.type) if f.name in columns else batch.column(f.name) for f in schema]
-            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+            found = []
+            for before, n in zip(batch.column("found").to_pylist(), n_words):
+                spans, items = next(results)
+                had = [(x["start"], x["end"]) for x in before["spans"]]
+                found.append({"n_words": n, "spans": [{"start": a, "end": b} for a, b in merged(had + spans)], "items": sorted({*before["items"], *items})})
+            arrays = [pa.array(found, f.type) if f.name == "found" else batch.column(f.name) for f in schema]
+            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema([f if f.name == "found" else batch.schema.field(f.name) for f in schema]))
 
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
@@ -146,45 +147,65 @@ def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
                 words = words_of(text.as_py())
                 n_words.append(len(words))
                 shard.add(words)
-            held.append((part if "text" in schema.names else part.drop_columns(["text"]), n_words))
-            if shard.size >= shard_symbols or shard.docs >= SHARD_DOCS:
+            held.append((part.select(schema.names), n_words))
+            size += held[-1][0].nbytes
+            if shard.size >= shard_symbols or shard.docs >= SHARD_DOCS or size >= SHARD_BYTES:
                 yield from flush()
-                shard, held = _Shard(phrases), []
+                shard, held, size = _Shard(phrases), [], 0
     yield from flush()
 
 
-def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
-    """``id``, ``n_words``, ``spans`` (merged, of words, end exclusive) and ``items`` for every row of ``docs``.
-
-    Null and wordless texts have no words and no spans; null or wordless items match nothing. Repeated rows stay
-    repeated; equal windows of several items count for each of them. With an empty benchmark nothing is hit.
-    """
+def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, shard_symbols: int) -> DataFrame:
+    """``row``, ``found`` for every row of ``rows`` (row, text)."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where(F.col("item").isNotNull())
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // (6 * block_words)) + 1
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.expr("cast(array() as array<struct<start:long,end:long>>)"), "items": F.expr("cast(array() as array<bigint>)")})
-    kind = f"id {rows.schema['id'].dataType.simpleString()}"
+    nothing = "named_struct('n_words', 0L, 'spans', cast(array() as array<struct<start:long,end:long>>), 'items', cast(array() as array<long>))"
+    rows = rows.withColumn("found", F.expr(nothing))
+    kind = f"row {rows.schema['row'].dataType.simpleString()}"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    tail = [("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64()))]
+    found = ("found", pa.struct([("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64()))]))
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
-        phrases = docs.sparkSession.sparkContext.broadcast(Phrases(phrases_of([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.toLocalIterator()], window)))
+        phrases = rows.sparkSession.sparkContext.broadcast(Phrases(phrases_of([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.toLocalIterator()], window)))
         last = block == blocks - 1
-        head = [("id", to_arrow_type(rows.schema["id"].dataType))] + ([] if last else [("text", pa.binary())])
-        rows = rows.mapInArrow(
-            lambda it, p=phrases, s=pa.schema(head + tail): _pass(it, p.value, s, shard_symbols), f"{kind}, {'' if last else 'text binary, '}{_SCHEMA}"
-        )
+        wanted = pa.schema([("row", pa.null()), *([] if last else [("text", pa.binary())]), found])
+        rows = rows.mapInArrow(lambda it, p=phrases, s=wanted: _pass(it, p.value, s, shard_symbols), f"{kind}, {'' if last else 'text binary, '}found {_FOUND}")
     return rows
 
 
+def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
+                  item_text_col: str = "text", window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+    """``id``, ``n_words``, ``spans`` (merged, of words, end exclusive) and ``items`` for every row of ``docs``.
+
+    Null and wordless texts have no words and no spans; null or wordless items match nothing. Repeated rows stay
+    repeated; equal windows of several items count for each of them. With an empty benchmark nothing is hit.
+    """
+    rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)
+    return out.select(F.col("row").alias("id"), "found.n_words", "found.spans", "found.items")
+
+
+def _n_hit(spans: str) -> Column:
+    return F.aggregate(spans, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 5,
+                      window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
+    """The rows of ``docs``, all their columns, that are not contaminated as ``contamination`` says. No row is shuffled."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(whole.alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)
+    n_hit = _n_hit("found.spans")
+    clean = out.where(~((n_hit > 0) & (100 * n_hit >= percent * F.col("found.n_words"))))
+    return clean.select("row.*")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 5, **options) -> DataFrame:
     """One row per row of ``docs``: n_words, n_hit, n_items, items_sha256, contaminated (hit words at least ``percent`` % of all), spans."""
     found = removal_spans(docs, benchmark, id_col, text_col, **options)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     listed = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
-    return found.withColumn("n_hit", n_hit).select(
+    return found.withColumn("n_hit", _n_hit("spans")).select(
         F.col("id").alias(id_col), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words"))).alias("contaminated"), "spans",
     )

@@ -140,9 +140,11 @@ class Identifier:
         return list(zip(split, np.split(labels, np.cumsum(lengths)[:-1])))
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        if not self.model.languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
         out = []
         for words, labels in self.label(texts):
-            if not words or not self.model.languages:
+            if not words:
                 out.append((UNDETERMINED, 0.0))
                 continue
             letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.languages))
@@ -206,6 +208,20 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     return LanguageModel(languages, prior, weight, script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
 
 
+def predicted(identifier: Identifier, column: pa.Array, most: int = 6_000_000) -> list[tuple[str, float]]:
+    """(language, share of letters) of each text; texts of at most ``most`` characters together, a longer one alone."""
+    texts, at = [t or "" for t in column.to_pylist()], 0
+    out: list[tuple[str, float]] = []
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= most:
+            size += len(texts[end])
+            end += 1
+        out += identifier.predict(texts[at:end])
+        at = end
+    return out
+
+
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, ``lang_pred``, ``score`` (the share of letters labelled so) for every row of ``docs``.
 
@@ -217,17 +233,26 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
         for batch in batches:
-            texts, at = [t or "" for t in batch.column("text").to_pylist()], 0
-            out: list[tuple[str, float]] = []
-            while at < len(texts):  # a few MB of text at a time; a longer text goes alone
-                end, size = at + 1, len(texts[at])
-                while end < len(texts) and size + len(texts[end]) <= 6_000_000:
-                    size += len(texts[end])
-                    end += 1
-                out += identifier.predict(texts[at:end])
-                at = end
+            out = predicted(identifier, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(label, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
     return out.withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is known: not ``und``, and labelling ``least`` of the letters or more.
+
+    Null texts and texts without letters are rejected. Repeated rows are judged alike. No shuffle.
+    """
+    shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
+    at = docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        identifier = Identifier(shared.value)
+        for batch in batches:
+            kept = [lang != UNDETERMINED and share >= least for lang, share in predicted(identifier, batch.column(at))]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(keep, schema)

@@ -150,6 +150,13 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = 6, c
     return dealt.mapInArrow(lambda it: _bucket_links(it, distance), "a long, b long").distinct()
 
 
+def fingerprint_classes(prints: DataFrame, distance: int = 3, blocks: int = 6) -> DataFrame:
+    """``fp``, ``class`` (the smallest fingerprint reachable) of every distinct fingerprint of ``prints``."""
+    distinct = stored(prints.select("fp").distinct(), "simhash-distinct")
+    labels = connected_components(fingerprint_links(distinct, distance, blocks))
+    return stored(distinct.join(labels, distinct.fp == labels.node, "left").select("fp", F.coalesce("component", "fp").alias("class")), "simhash-classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
     """``<id_col>``, ``fingerprint`` (16 hex digits), ``component_id`` for every row of ``docs``.
 
@@ -159,10 +166,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result. Other columns of ``docs`` are not read.
     """
     prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    labels = connected_components(fingerprint_links(distinct, distance, blocks))
-    classed = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("class"))
+    classes = fingerprint_classes(prints, distance, blocks)
+    classed = prints.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
     least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    members = stored(classed.join(least, "class").select("fp", "component_id"), "simhash-classes")
+    members = stored(classes.join(least, "class").select("fp", "component_id"), "simhash-members")
     out = prints.join(members, "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
+    """The rows of ``docs``, all their columns, that stay when one row of each near-duplicate class does: that with the smallest id.
+
+    Of rows with that id, the one whose text has the smallest hash stays, and of equal rows one. Null ids come last, so a class
+    of null ids alone also keeps one. Classes are those of ``near_duplicates``. Texts are shuffled once, to drop equal rows;
+    if the list of kept rows is small, not even that.
+    """
+    text = F.col(text_col).cast("string")
+    keys = [F.xxhash64(F.lit(k), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit("")), F.col(id_col).isNull(), text.isNull()) for k in (0, 1)]
+    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), keys[0].alias("a"), keys[1].alias("b")).alias("row"), text.alias("text"))
+    prints = stored(fingerprints(rows, "row", "text"), "simhash-prints")
+    classes = fingerprint_classes(prints, distance, blocks)
+    first = prints.groupBy("fp").agg(F.min("id").alias("row")).join(classes, "fp").groupBy("class").agg(F.min("row").alias("row"))
+    first = stored(first.select(F.col("row.a").alias("_kept_a"), F.col("row.b").alias("_kept_b")), "simhash-kept")
+    marked = docs.withColumns({"_row_a": keys[0], "_row_b": keys[1]})
+    kept = marked.join(first, (F.col("_row_a") == F.col("_kept_a")) & (F.col("_row_b") == F.col("_kept_b"))).drop("_kept_a", "_kept_b")
+    return kept.dropDuplicates(["_row_a", "_row_b"]).select(*docs.columns)
