@@ -241,7 +241,7 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.5) -> DataFrame:
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all their columns, whose language is known: not ``und``, and labelling ``least`` of the letters or more.
 
     Null texts and texts without letters are rejected. Repeated rows are judged alike. No shuffle.

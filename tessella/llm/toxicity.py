@@ -90,7 +90,7 @@ def fit_thresholds(x: np.ndarray, grade: np.ndarray, rounds: int = 500, rate: fl
 
 
 def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-                         max_train: int = 20_000, grades: int = GRADES, least_z: float = 6.0, max_words: int = 1024) -> SeverityModel:
+                         max_train: int = 20_000, grades: int = GRADES, least_z: float = 5.0, max_words: int = 1024) -> SeverityModel:
     """Fit on a 0/1 label. Grade 0 is label 0; grades 1 to ``grades - 1`` part the rows of label 1 by how many telling words they hold.
 
     Without rows of both labels the model knows no word and finds nothing toxic.
@@ -134,7 +134,7 @@ def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic
     return SeverityModel(weight, thresholds)
 
 
-def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.3) -> DataFrame:
+def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.2) -> DataFrame:
     """``id_col``, ``severity`` (expected grade), ``grade`` (the likeliest), ``score`` (P(grade >= 1)), ``toxic`` (score >= ``cut``) for every row.
 
     A null text scores as an empty one. Only the id and the text are read; repeated rows score alike.
