@@ -24,7 +24,7 @@ from tessella.llm.store import stored
 
 CAPACITY = 2048
 END_ID = 1
-_BUCKET_ROWS = 50_000
+_BUCKET_ROWS = 10_000
 
 
 class WordTokenizer:
