@@ -208,7 +208,7 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     return LanguageModel(languages, prior, weight, script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
 
 
-def predicted(identifier: Identifier, column: pa.Array, most: int = 6_000_000) -> list[tuple[str, float]]:
+def predicted(identifier: Identifier, column: pa.Array, most: int = 2_500_000) -> list[tuple[str, float]]:
     """(language, share of letters) of each text; texts of at most ``most`` characters together, a longer one alone."""
     texts, at = [t or "" for t in column.to_pylist()], 0
     out: list[tuple[str, float]] = []
