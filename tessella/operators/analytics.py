@@ -10,21 +10,21 @@ from tessella.functions.text import half_up, words
 
 def mode_first_seen(df: DataFrame, group: list[str], value: str, position: Column) -> DataFrame:
     """The most frequent value of each group; of equally frequent ones, the first seen."""
-    counted = df.groupBy(*group, value).agg(F.count("*").alias("n"), F.min(position).alias("first"))
-    return counted.groupBy(*group).agg(F.max_by(value, F.struct(F.col("n"), -F.col("first"))).alias(f"mode_{value}"))
+    counted = df.groupBy(*group, value).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
+    return counted.groupBy(*group).agg(F.max_by(value, F.struct(F.col("_n"), -F.col("_first"))).alias(f"mode_{value}"))
 
 
 def common_name(df: DataFrame, group: str, name: str, position: Column) -> DataFrame:
     """One name for each group: the words that all members share, in the first member's order; without any, the shortest of the
     most frequent names, the first seen of equals. Words are counted by distinct name, so a large group of few names is small."""
-    seen = df.where(F.col(name).isNotNull()).groupBy(group, name).agg(F.count("*").alias("n"), F.min(position).alias("first"))
-    facts = seen.groupBy(group).agg(F.count("*").alias("names"), F.min_by(name, "first").alias("lead"), F.max("n").alias("most"))
-    shared = seen.select(group, F.explode(F.array_distinct(words(F.col(name)))).alias("word")).groupBy(group, "word").agg(F.count("*").alias("having"))
-    shared = shared.join(facts.select(group, "names"), group).where(F.col("having") == F.col("names")).groupBy(group).agg(F.collect_set("word").alias("shared"))
-    short = seen.join(facts.select(group, "most"), group).where(F.col("n") == F.col("most")).groupBy(group).agg(F.min_by(name, F.struct(F.length(name), F.col("first"))).alias("short"))
-    out = facts.join(shared, group, "left").join(short, group)
-    kept = F.array_join(F.filter(words(F.col("lead")), lambda w: F.array_contains(F.coalesce("shared", F.array().cast("array<string>")), w)), " ")
-    return out.select(group, F.when(kept != "", kept).otherwise(F.col("short")).alias("display_name"))
+    seen = df.where(F.col(name).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(name).alias("_name")).agg(F.count("*").alias("_n"), F.min(position).alias("_first"))
+    facts = seen.groupBy("_g").agg(F.count("*").alias("_names"), F.min_by("_name", "_first").alias("_lead"), F.max("_n").alias("_most"))
+    shared = seen.select("_g", F.explode(F.array_distinct(words(F.col("_name")))).alias("_word")).groupBy("_g", "_word").agg(F.count("*").alias("_having"))
+    shared = shared.join(facts.select("_g", "_names"), "_g").where("_having = _names").groupBy("_g").agg(F.collect_set("_word").alias("_shared"))
+    short = seen.join(facts.select("_g", "_most"), "_g").where("_n = _most").groupBy("_g").agg(F.min_by("_name", F.struct(F.length("_name"), F.col("_first"))).alias("_short"))
+    out = facts.join(shared, "_g", "left").join(short, "_g")
+    kept = F.array_join(F.filter(words(F.col("_lead")), lambda w: F.array_contains(F.coalesce("_shared", F.array().cast("array<string>")), w)), " ")
+    return out.select(F.col("_g").alias(group), F.when(kept != "", kept).otherwise(F.col("_short")).alias("display_name"))
 
 
 def quantile_cells(df: DataFrame, outer: str, inner: str, value: str, extra: str, least: int = 3) -> DataFrame:

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,7 +36,7 @@ def _best_of_partition(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queri
 
     for batch in batches:
         at = np.flatnonzero(np.asarray(batch.column(1).is_valid()))
-        if not at.size:
+        if not at.size or not ids.size:
             continue
         rows = np.array(batch.column(1).take(pa.array(at)).to_pylist(), np.float64)
         length = np.linalg.norm(rows, axis=1)
@@ -61,7 +63,7 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     parts = []
     for b in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
-        vectors = np.array(mine.column("v").to_pylist(), np.float64).reshape(mine.num_rows, -1)
+        vectors = np.array(mine.column("v").to_pylist(), np.float64).reshape(mine.num_rows, -1) if mine.num_rows else np.zeros((0, 1))
         length = np.linalg.norm(vectors, axis=1)
         ids = mine.column("id").to_numpy()[length > 0]
         shared = rows.sparkSession.sparkContext.broadcast((ids, vectors[length > 0] / length[length > 0, None]))
@@ -109,9 +111,6 @@ def rerank(pool: DataFrame, score: Column | Callable[[DataFrame], DataFrame], li
 
 def hashing_embedder(size: int = 64) -> Callable:
     """A deterministic stand-in for an embedding model: hashed words, normalised, as a vectorised function over text."""
-    from zlib import crc32
-
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:

@@ -10,6 +10,7 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,7 +201,6 @@ def extract_specs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
 
 def unescaped(text: Column) -> Column:
     """HTML entities as characters, a batch of rows at a time."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
