@@ -11,7 +11,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 from zlib import crc32
 
 import numpy as np
@@ -27,12 +28,30 @@ END_ID = 1
 _BUCKET_ROWS = 10_000
 
 
+class _Recent(dict):
+    """Ids of recent words, computed when first asked for, in two halves: when this one is full, it becomes the older."""
+
+    def __init__(self, compute: Callable[[bytes], bytes], keep: int):
+        super().__init__()
+        self.compute, self.keep, self.older = compute, keep // 2, {}
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.compute(word)
+        if len(self) >= self.keep:
+            self.older = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that never joins across white space, by way of known words.
 
     A text is split at ASCII white space. Words of plain Latin letters go to the tokenizer's model in its own units (runs of
     letters, single digits, runs of marks, contractions); any other word goes through the whole tokenizer. Ids of at most
-    ``keep`` recent words are held, in two halves: when one is full, the older is dropped.
+    ``keep`` recent words, and of as many recent units, are held.
     """
 
     _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sa-zß-öø-į0-9]+")
@@ -43,45 +62,30 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
-        self.model = self.whole.model
-        self.keep = keep // 2
-        self.new: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.tokenize = self.whole.model.tokenize
+        self.words, self.units = _Recent(self._word, keep), _Recent(self._unit, keep)
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.alphabet = "".join(chr(b) if b in set(visible) else chr(256 + hidden.index(b)) for b in range(256))
 
     def _unit(self, unit: str) -> bytes:
-        ids = self.units.get(unit)
-        if ids is None:
-            if len(self.units) >= self.keep:
-                self.units.clear()
-            spelled = "".join([self.alphabet[b] for b in unit.encode()])
-            ids = self.units[unit] = np.array([t.id for t in self.model.tokenize(spelled)], "<u4").tobytes()
-        return ids
+        if not unit.isascii():  # visible ASCII stands for itself
+            unit = "".join([self.alphabet[b] for b in unit.encode()])
+        tokens = self.tokenize(unit)
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _word(self, word: bytes) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            text = word.decode("utf-8", "replace")
-            if self._PLAIN.match(text):
-                ids = b"".join([self._unit(u) for u in self._UNITS.findall(text.lower())])
-            else:
-                ids = np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(self.new) >= self.keep:
-            self.old, self.new = self.new, {}
-        self.new[word] = ids
-        return ids
+        if word.isalpha():  # bytes: ASCII letters alone
+            return self._unit(word.lower().decode())
+        text = word.decode("utf-8", "replace")
+        if self._PLAIN.match(text):
+            return b"".join(map(self.units.__getitem__, self._UNITS.findall(text.lower())))
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
-        get, word = self.new.get, self._word
-        out = []
-        for w in text.split():
-            ids = self.new.get(w)
-            out.append(word(w) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def default_tokenizer() -> str:
@@ -96,7 +100,7 @@ def cut_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The tokenizer's path must be readable on the executors.
     """
     path = tokenizer or default_tokenizer()
-    tail = np.array([end_id], "<u4").tobytes()
+    tail = struct.pack("<I", end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordTokenizer(path)
