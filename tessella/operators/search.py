@@ -16,8 +16,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.functions.text import words
-
 RRF_K = 60
 BLOCK = 4096
 
@@ -73,9 +71,15 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     return best.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def term_hits(text: Column, terms: list[str]) -> Column:
+    """The occurrences of the terms as whole blank-separated words; no other word is made an array element."""
+    either = "|".join(f"\\Q{t}\\E" for t in terms)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<!\S)(?:{either})(?!\S)"), F.lit(0))
+
+
 def sparse_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str, require_all: bool = True) -> DataFrame:
     """``id``, ``score`` (occurrences of the terms among the blank-separated words) of rows with all terms, or with any."""
-    found = F.filter(words(F.lower(F.col(text_col))), lambda w: w.isin(*terms))
+    found = term_hits(F.col(text_col), terms)
     rows = docs.select(F.col(id_col).alias("id"), found.alias("found"))
     least = len(set(terms)) if require_all else 1
     return rows.where(F.size(F.array_distinct("found")) >= least).select("id", F.size("found").cast("long").alias("score"))
@@ -84,7 +88,7 @@ def sparse_hits(docs: DataFrame, terms: list[str], id_col: str, text_col: str, r
 def sparse_topk(docs: DataFrame, terms: list[str], k: int, id_col: str, text_col: str) -> DataFrame:
     """The ``k`` best rows with all terms; if no row has all, the best with any. Both levels come from one pass: each keeps
     its first ``k``, and the fallback counts only if the first level is empty."""
-    found = F.filter(words(F.lower(F.col(text_col))), lambda w: w.isin(*terms))
+    found = term_hits(F.col(text_col), terms)
     level = docs.select(F.col(id_col).alias("id"), F.when(F.size(F.array_distinct(found)) >= len(set(terms)), 0).otherwise(1).alias("level"), F.size(found).cast("long").alias("score"))
     level = level.where(F.col("score") > 0)
     first = level.orderBy("level", F.desc("score"), "id").limit(k)
