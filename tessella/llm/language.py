@@ -144,7 +144,7 @@ class Identifier:
             return [(UNDETERMINED, 0.0)] * len(texts)
         out = []
         for words, labels in self.label(texts):
-            if not words:
+            if not any(c.isalpha() for w in words for c in w):  # numerals like a superscript are no letters
                 out.append((UNDETERMINED, 0.0))
                 continue
             letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.languages))

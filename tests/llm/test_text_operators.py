@@ -139,6 +139,7 @@ def test_language_spans_and_odd_rows(spark, odd):
     assert {r.lang_pred for r in out if r.doc_id in (1, 2, 3, 6)} == {"und"}
     kept = language.keep_identified(odd, model)
     assert kept.columns == odd.columns and {1, 2, 3, 6}.isdisjoint({r.doc_id for r in kept.collect()})
+    assert language.Identifier(model).predict(["² ½ Ⅷ", "12 !", ""]) == [("und", 0.0)] * 3  # numerals are no letters
     assert language.identify_languages(odd.limit(0), model).count() == 0
     none = language.train_language_model(odd)
     assert {r.lang_pred for r in language.identify_languages(odd, none).collect()} == {"und"}
