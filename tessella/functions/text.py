@@ -74,3 +74,29 @@ def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays; null where one has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def straight_quotes(c: Column) -> Column:
+    """Acute accents that stand for apostrophes become apostrophes."""
+    return F.replace(c, F.lit("\u00b4"), F.lit("'"))
+
+
+def without_suffix(c: Column, suffix: Column) -> Column:
+    return F.when(c.endswith(suffix), F.substring(c, F.lit(1), F.length(c) - F.length(suffix))).otherwise(c)
+
+
+def starts_with_any(c: Column, prefixes: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | c.startswith(p)
+    return out
+
+
+def year_in(c: Column) -> Column:
+    """The first plausible year that stands as a word of its own, or null."""
+    return F.nullif(F.regexp_extract(c, r"\b(18[5-9]\d|19\d\d|20[0-2]\d)\b", 1), F.lit("")).try_cast("int")
+
+
+def newest_first(low: Column, high: Column) -> Column:
+    """All years from ``high`` down to ``low``; none if they cross."""
+    return F.when(high >= low, F.sequence(high, low, F.lit(-1))).otherwise(F.array().cast("array<int>"))

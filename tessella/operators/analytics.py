@@ -105,3 +105,34 @@ def calls_mention(calls: Column, name: str, pattern: str, together: bool = False
 def call_between(calls: Column, name: str, key: str, least: float, most: float) -> Column:
     """Whether some call of ``name`` has a numeric argument within the bounds."""
     return F.exists(calls, lambda c: (c["name"] == name) & F.coalesce(F.element_at(c["args"], key).try_cast("double").between(least, most), F.lit(False)))
+
+
+def priority(n: Column, missing: list[Column]) -> tuple[Column, Column]:
+    """(how many fields miss values, the score: rows times that share, to one decimal, halves upwards)."""
+    lacking = sum(F.coalesce(m > 0, F.lit(False)).cast("int") for m in missing)
+    return lacking, half_up(n * lacking / len(missing) * 10) / 10
+
+
+def share_without(part: Column, whole: Column) -> Column:
+    """Percentage of ``whole`` that is not ``part``, rounded, halves upwards; 100 where there is nothing."""
+    return F.coalesce(half_up(100 * (1 - F.try_divide(part, whole))), F.lit(100)).cast("long")
+
+
+def metric_means(df: DataFrame, group: list[str], metrics: list[str]) -> DataFrame:
+    """Means to four decimals; nulls and NaN are left out."""
+    return df.groupBy(*group).agg(*[F.round(F.avg(F.when(~F.isnan(m), F.col(m))), 4).alias(m) for m in metrics])
+
+
+def topic_hits(ranked: DataFrame, group: list[str], text: str, pattern: str, rank: str, k: int) -> DataFrame:
+    """Rows among the first ``k`` of each ranked list whose text a pattern matches."""
+    on = (F.col(rank) <= k) & F.col(text).rlike(f"(?i){pattern}")
+    return ranked.groupBy(*group).agg(F.count_if(on).alias("n_on_topic"), F.count_if(F.col(rank) <= k).alias("n_listed"))
+
+
+def seeded_sample(df: DataFrame, stratum: str, key: str, sizes: dict[str, int], seed: int = 0) -> DataFrame:
+    """Exactly ``sizes[stratum]`` rows of each stratum, fewer if it has fewer, in an order that the seed fixes. Ranks are cut
+    in each task before the strata meet."""
+    size = F.coalesce(*[F.when(F.col(stratum) == s, F.lit(n)) for s, n in sizes.items()])
+    at = F.row_number().over(Window.partitionBy(stratum).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key))
+    rows = df.where(F.col(stratum).isin(*sizes)).withColumn("_at", at).where(F.col("_at") <= max(sizes.values()))
+    return rows.where(F.col("_at") <= size).drop("_at")

@@ -69,3 +69,8 @@ def min_group(df: DataFrame, group: list[str], least: int = 3) -> DataFrame:
 def frontier(urls: DataFrame, done: DataFrame, url: str) -> DataFrame:
     """What is still to do: distinct URLs that no journal lists."""
     return urls.select(url).distinct().join(done.select(url), url, "left_anti")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``table`` (one row a key) where it has the key; others stay, with nulls."""
+    return rows.join(table, key, "left")

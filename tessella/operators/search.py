@@ -107,6 +107,17 @@ def rrf(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = RRF_K) ->
     return a.join(b, keys, "full_outer").withColumn("rrf", part("dense_rank") + part("sparse_rank"))
 
 
+def fused_order() -> list[Column]:
+    """The best fused score first; of equals, the nearer vector, then the better keyword match."""
+    return [F.desc("rrf"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("sparse_rank"), F.asc("id")]
+
+
+def fused_topk(fused: DataFrame, query: list[str], k: int) -> DataFrame:
+    """The ``k`` best rows of each query with their ``place``."""
+    at = F.row_number().over(Window.partitionBy(*query).orderBy(*fused_order())).cast("long")
+    return fused.withColumn("place", at).where(F.col("place") <= k)
+
+
 def rerank(pool: DataFrame, score: Column | Callable[[DataFrame], DataFrame], limit: int, tie: list[Column]) -> DataFrame:
     """The ``limit`` best rows of a bounded pool by ``score``: an expression, or a function that adds ``rerank_score``."""
     scored = score(pool) if callable(score) and not isinstance(score, Column) else pool.withColumn("rerank_score", score)

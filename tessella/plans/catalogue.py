@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.text import all_words, cosine, norm, number_with_unit, rot13, tokens, words
+from tessella.functions.text import all_words, cosine, newest_first, norm, number_with_unit, rot13, starts_with_any, tokens, words
 from tessella.operators import analytics, filters, matching, merge, search
 from tessella.sources import extract
 from tessella.sources.readers import table
@@ -220,6 +220,17 @@ def neighbour_similarity(spark, d):
     return e.join(after, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 4).alias("similarity"))
 
 
+@query(f"{_FUSED} SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, dense_rank ASC NULLS LAST, sparse_rank ASC NULLS LAST, id) AS place FROM f QUALIFY place <= 10")
+def hybrid_topk(spark, d):
+    return search.fused_topk(_fused(spark, d), ["query_id"], 10).select("query_id", "id", "place")
+
+
+@query(f"WITH {_DENSE} SELECT query_id, count(*) FILTER (regexp_matches(text, '(?i)licen[cs]ed|copyright|the ')) AS n_on_topic, count(*) AS n_listed FROM ranked JOIN documents ON doc_id = id WHERE rank <= 10 GROUP BY query_id")
+def on_topic_hits(spark, d):
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return analytics.topic_hits(_dense(spark, d, 15).join(texts, "id"), ["query_id"], "text", "licen[cs]ed|copyright|the ", "rank", 10)
+
+
 # Entity resolution
 
 _MATCH_SOURCE = """src AS (SELECT p_partkey AS source_id, p_size + (p_partkey % 3) - 1 AS y, list_distinct(regexp_extract_all(lower(CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_brand WHEN 2 THEN p_name || ' 650' ELSE p_name || ' deluxe ' || p_brand || ' 7' END), '[a-z]+|[0-9]+')) AS r FROM part),
@@ -417,6 +428,45 @@ def bucket_precision(spark, d):
     return analytics.verdict_rates(rows.withColumn("status", status), ["lang"], "status")
 
 
+@query("""WITH l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1), c AS (SELECT source, count(*) AS n, count(*) FILTER (quality IS NULL) AS a, count(*) FILTER (toxic IS NULL) AS b, count(*) FILTER (lang IS NULL) AS c FROM documents LEFT JOIN l USING (doc_id) GROUP BY source)
+SELECT source, (a > 0)::INT + (b > 0)::INT + (c > 0)::INT AS lacking, floor(n * ((a > 0)::INT + (b > 0)::INT + (c > 0)::INT) / 3 * 10 + 0.5) / 10 AS score, CAST(floor(100 * (1 - (n - a) / n) + 0.5) AS BIGINT) AS pct_unlabelled FROM c""")
+def priority_score(spark, d):
+    labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    rows = analytics.coverage(table(spark, d, "documents").select("doc_id", "source", "lang").join(labels, "doc_id", "left"), "source", ["quality", "toxic", "lang"], "doc_id")
+    lacking, score = analytics.priority(F.col("n_rows"), [F.col(f"miss_{f}") for f in ("quality", "toxic", "lang")])
+    return rows.select("source", lacking.alias("lacking"), score.alias("score"), analytics.share_without(F.col("n_rows") - F.col("miss_quality"), F.col("n_rows")).alias("pct_unlabelled"))
+
+
+@query("SELECT event_type, round(avg(value), 4) AS value FROM events WHERE NOT isnan(value) GROUP BY event_type")
+def metric_means(spark, d):
+    return analytics.metric_means(table(spark, d, "events"), ["event_type"], ["value"])
+
+
+@query("""SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY md5('7:' || doc_id), doc_id) AS k FROM documents WHERE lang IN ('en', 'de', 'fr')) WHERE k <= CASE lang WHEN 'en' THEN 20 ELSE 15 END""")
+def seeded_sample(spark, d):
+    return analytics.seeded_sample(table(spark, d, "documents").select("doc_id", "lang"), "lang", "doc_id", {"en": 20, "de": 15, "fr": 15}, 7)
+
+
+@query("""WITH c AS (SELECT c_custkey, c_nationkey FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT * FROM nation WHERE n_regionkey <> 2)
+SELECT o_orderpriority, count(n_name) AS n_found, count(*) - count(n_name) AS n_skipped FROM orders LEFT JOIN c ON c_custkey = o_custkey LEFT JOIN n ON n_nationkey = c_nationkey GROUP BY o_orderpriority""")
+def two_hop_lookup(spark, d):
+    owners = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
+    rows = merge.looked_up(table(spark, d, "orders").select("o_custkey", "o_orderpriority"), owners, "o_custkey")
+    rows = merge.looked_up(rows, table(spark, d, "nation").where("n_regionkey <> 2").select("n_nationkey", "n_name"), "n_nationkey")
+    return rows.groupBy("o_orderpriority").agg(F.count("n_name").alias("n_found"), F.count_if(F.col("n_name").isNull()).alias("n_skipped"))
+
+
+@query("SELECT p_partkey FROM part WHERE starts_with(p_brand || ' ' || p_name, 'Brand#1') OR starts_with(p_brand || ' ' || p_name, 'Brand#23 ')")
+def brand_prefix(spark, d):
+    return table(spark, d, "part").where(starts_with_any(F.concat("p_brand", F.lit(" "), "p_name"), ("Brand#1", "Brand#23 "))).select("p_partkey")
+
+
+@query("SELECT o_custkey, CAST(unnest(range(high, low - 1, -1)) AS INT) AS order_year FROM (SELECT o_custkey, year(min(o_orderdate)) AS low, year(max(o_orderdate)) AS high FROM orders GROUP BY 1)")
+def years_newest_first(spark, d):
+    span = table(spark, d, "orders").groupBy("o_custkey").agg(F.year(F.min("o_orderdate")).alias("low"), F.year(F.max("o_orderdate")).alias("high"))
+    return span.select("o_custkey", F.explode(newest_first(F.col("low"), F.col("high"))).alias("order_year"))
+
+
 # Extraction
 
 

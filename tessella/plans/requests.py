@@ -28,9 +28,12 @@ def normalise(tool: Tool, arguments: dict[str, Any]) -> tuple[dict[str, Any], li
     """The arguments that the tool takes, and notes on what was dropped or filled in."""
     out, notes = {}, []
     for name, value in arguments.items():
-        name = name if name in tool.arguments else ALIASES.get(name, name)
+        other = ALIASES.get(name)
         if name in tool.arguments:
-            out.setdefault(name, value)
+            out[name] = value
+        elif other in tool.arguments and other not in arguments:
+            out[other] = value
+            notes.append(f"argument '{name}' was read as '{other}'")
         else:
             notes.append(f"argument '{name}' is unknown and was ignored")
     for name in tool.required:

@@ -146,8 +146,10 @@ def test_checks_on_calls(spark):
 def test_requests(spark):
     tool = requests.Tool(lambda model, brand=None: spark.createDataFrame([(model, brand)], "m string, b string"), ("model", "brand"), ("model",), {"model": lambda a: f"all of {a.get('brand')}"})
     df, notes = requests.run_tool({"look": tool}, "look", {"bike": "V7", "min_year": 3})
-    assert df.first()[:] == ("V7", None) and len(notes) == 1
+    assert df.first()[:] == ("V7", None) and len(notes) == 2  # one renamed, one unknown
     df, notes = requests.run_tool({"look": tool}, "look", {"brands": "Beta"})
-    assert df.first()[:] == ("all of Beta", "Beta") and len(notes) == 1
+    assert df.first()[:] == ("all of Beta", "Beta") and len(notes) == 2  # one renamed, one filled in
+    df, notes = requests.run_tool({"look": tool}, "look", {"bike": "V7", "model": "V9"})
+    assert df.first()[:] == ("V9", None) and len(notes) == 1  # an argument's own name goes before another one
     with pytest.raises(requests.RequestError):
         requests.run_tool({"look": tool}, "find", {})
