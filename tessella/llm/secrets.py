@@ -20,8 +20,10 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: Names wider than those of ``assign``; their values must also be hard to guess.
-_CONTEXT = re.compile(r"""(?:passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret)["']?\x20*[:=]\x20*["']?([!-~]{8,256})""", re.I | re.A)
+#: A value: between quotes up to the closing one, if a mark that ends a string or no letter or digit follows in the word; else printable ASCII up to a blank.
+_VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~]){1,256})\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?([!-~]{1,256})""", re.A)
+#: The names of ``assign`` and more; their values must also be hard to guess.
+_CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*""", re.I | re.A)
 _QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token", re.I | re.A)
 
 # Common words of passwords and placeholders, most guessed first.
@@ -112,17 +114,30 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
+def _value_at(text: str, at: int) -> tuple[int, int]:
+    """(start, end) of the value whose opening quote or first character is at ``at``; without quotes, closing marks are not part of it."""
+    m = _VALUE.match(text, at)
+    if not m:
+        return at, at
+    return m.span(2) if m[2] else (m.start(3), m.start(3) + len(m[3].rstrip("\"',;.)]}>")))
+
+
 def guessed_spans(text: str, least_cost: float = 12.0) -> list[tuple[int, int, str]]:
-    """Values in a credential context that take 10**least_cost guesses or more."""
+    """Values in a credential context that take 10**least_cost guesses or more; none lies inside another."""
     if not _QUICK.search(text):
         return []
-    out = []
-    for pattern, group in ((_CONTEXT, 1), (_ASSIGN, 2)):
-        for m in pattern.finditer(text):
-            value = m[group].rstrip("\"',;.)]}>")
-            if len(value) >= 8 and guess_cost(value) >= least_cost:
-                out.append((m.start(group), m.start(group) + len(value), "guess"))
-    return sorted(set(out))
+    values, at = [], 0
+    while m := _CONTEXT.search(text, at):
+        start, end = _value_at(text, m.end())
+        values.append((start, end))
+        at = end if end - start >= 8 else m.end()
+    values += [(m.start(2), m.start(2) + len(m[2].rstrip("."))) for m in _ASSIGN.finditer(text)]
+    out, last = [], 0
+    for start, end in sorted(set(values), key=lambda v: (v[0], -v[1])):
+        if end - start >= 8 and end > last and guess_cost(text[start:end]) >= least_cost:
+            out.append((start, end, "guess"))
+            last = end
+    return out
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -152,11 +167,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0) -> str:
-    """The text with every span of a secret replaced; of an assignment only the value goes."""
+    """The text with every span of a secret replaced; of an assignment only the value goes, to its last printable character."""
     cuts = []
     for m in _ASSIGN.finditer(text):
         if m.end(2) - m.start(2) >= 8:
-            cuts.append((m.start(2), m.end(2)))
+            quoted = text[m.start(2) - 1] in "\"'"
+            cuts.append((m.start(2), max(m.end(2), _value_at(text, m.start(2) - quoted)[1])))
     cuts += [(s, e) for s, e, k in [*base_spans(text), *guessed_spans(text, least_cost)] if k != "assign"]
     out, at = [], 0
     for s, e in sorted(cuts):

@@ -123,6 +123,28 @@ def test_redaction_keeps_the_rest(spark, odd):
     assert secrets.find_secrets(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("name", ["password", "passwd", "secret", "token", "api_key", "client_secret", "pwd"])
+def test_values_of_every_name_are_whole(name):
+    for before, value, after in (
+        (f'{name}: "', "K9#vQ!x2$Lm8@Zt", '" end'), (f"{name}=", "Tr0ub4dor&3x!9q", " end"), (f'{{"{name}":"', "x7Kq9#vR2mZ4pL8", '","id":5}'),
+        (f"{name} = '", "aB3'k\"9#xQ!7vLz", "' end"), (f'{name}="', 'q\\"7#xK!9vR2m)', '", end'), (f"see: {name}: pwd: ", "x7Kq9vR2mZ4pL8", ", end"),
+        (f'{name} = "', "x7Kq9#vR2mZ4pL8", '"### end'), (f'{name}="', 'ab"#x7Kq9vR2mZ4pL8', '" end'),
+    ):
+        text = before + value + after
+        assert [x for x in secrets.guessed_spans(text)] == [(len(before), len(before) + len(value), "guess")], text
+        assert secrets.redacted(text) == f"{before}[SECRET]{after}", text
+
+
+def test_values_that_are_easy_or_short_stay(spark):
+    for text in ('{"password":"hunter2","id":"x7Kq9vR2mZ4pL8"}', "secret = qwertyuiop! ", "token: (none), "):
+        assert secrets.guessed_spans(text) == []
+    assert secrets.redacted("password=password1&x now") == "password=[SECRET] now"  # reported by assign, masked whole
+    docs = spark.createDataFrame([(1, 'password: "K9#vQ!x2$Lm8@Zt"'), (1, "password=Tr0ub4dor&3x!9q")], "doc_id long, text string")
+    got = sorted((r.n_assign, r.base_spans, r.spans) for r in secrets.find_secrets(docs).collect())
+    assert got == [(0, "", "guess:11:26"), (1, "assign:0:18", "assign:0:18,guess:9:24")]
+    assert {r.text for r in secrets.redact_secrets(docs).collect()} == {'password: "[SECRET]"', "password=[SECRET]"}
+
+
 def test_language_held_out(spark):
     truth = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     got = op7_language(spark, SF).collect()
