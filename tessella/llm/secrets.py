@@ -11,6 +11,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A value: between quotes up to the closing one, if a mark that ends a string or no letter or digit follows in the word; else printable ASCII up to a blank.
-_VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~]){1,256})\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?([!-~]{1,256})""", re.A)
+_VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~])+)\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?([!-~]+)""", re.A)
 #: The names of ``assign`` and more; their values must also be hard to guess.
 _CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*""", re.I | re.A)
 _QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token", re.I | re.A)
@@ -53,9 +54,16 @@ def guess_cost(value: str) -> float:
 
     Values over ``MAX_VALUE`` characters are costed in pieces of that length, which adds up.
     """
-    if len(value) > MAX_VALUE:
-        return sum(_segment(value[k : k + MAX_VALUE]) for k in range(0, len(value), MAX_VALUE))
-    return _segment(value)
+    return sum(_pieces(value))
+
+
+def _pieces(value: str) -> Iterator[float]:
+    return (_segment(value[k : k + MAX_VALUE]) for k in range(0, len(value), MAX_VALUE))
+
+
+def _takes(value: str, least_cost: float) -> bool:
+    """Whether ``guess_cost`` is at least ``least_cost``; no piece is costed after those that reach it."""
+    return any(cost >= least_cost for cost in accumulate(_pieces(value)))
 
 
 @lru_cache(maxsize=10_000)
@@ -134,7 +142,7 @@ def guessed_spans(text: str, least_cost: float = 12.0) -> list[tuple[int, int, s
     values += [(m.start(2), m.start(2) + len(m[2].rstrip("."))) for m in _ASSIGN.finditer(text)]
     out, last = [], 0
     for start, end in sorted(set(values), key=lambda v: (v[0], -v[1])):
-        if end - start >= 8 and end > last and guess_cost(text[start:end]) >= least_cost:
+        if end - start >= 8 and end > last and _takes(text[start:end], least_cost):
             out.append((start, end, "guess"))
             last = end
     return out
@@ -168,11 +176,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0) -> str:
     """The text with every span of a secret replaced; of an assignment only the value goes, to its last printable character."""
-    cuts = []
+    cuts, last = [], 0
     for m in _ASSIGN.finditer(text):
-        if m.end(2) - m.start(2) >= 8:
+        if m.end(2) - m.start(2) >= 8 and m.end(2) > last:
             quoted = text[m.start(2) - 1] in "\"'"
-            cuts.append((m.start(2), max(m.end(2), _value_at(text, m.start(2) - quoted)[1])))
+            last = max(m.end(2), _value_at(text, m.start(2) - quoted)[1])
+            cuts.append((m.start(2), last))
     cuts += [(s, e) for s, e, k in [*base_spans(text), *guessed_spans(text, least_cost)] if k != "assign"]
     out, at = [], 0
     for s, e in sorted(cuts):

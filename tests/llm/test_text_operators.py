@@ -135,6 +135,21 @@ def test_values_of_every_name_are_whole(name):
         assert secrets.redacted(text) == f"{before}[SECRET]{after}", text
 
 
+@pytest.mark.parametrize("name", ["private_key", "access_key", "client_secret", "credentials", "auth", "bearer", "pwd", "pass", "passphrase", "password"])
+def test_long_values_are_whole(name):
+    import base64
+    import random
+
+    for n in (250, 1200, 6000):
+        value = base64.b64encode(random.Random(n).randbytes(n)).decode().rstrip("=") + "#7Q"
+        for before, after in ((f"{name}=", " end"), (f'{name}: "', '", end')):
+            text = before + value + after
+            assert secrets.guessed_spans(text) == [(len(before), len(before) + len(value), "guess")]
+            assert secrets.redacted(text) == f"{before}[SECRET]{after}"
+        assert secrets._takes(value, secrets.guess_cost(value) - 1) and not secrets._takes(value, secrets.guess_cost(value) + 1)
+    assert secrets.guessed_spans(f"{name}=" + "=" * 300) == []
+
+
 def test_values_that_are_easy_or_short_stay(spark):
     for text in ('{"password":"hunter2","id":"x7Kq9vR2mZ4pL8"}', "secret = qwertyuiop! ", "token: (none), "):
         assert secrets.guessed_spans(text) == []
