@@ -33,13 +33,13 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def phrases_of(items: list[tuple[int, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[int]]:
-    """Every window of every item, with the items that have it; an item of fewer words is one window."""
+def phrases_of(items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[int]]:
+    """Every window of every item, with the ids of the items that have it; an item of fewer words is one window."""
     out: dict[tuple[bytes, ...], set[int]] = {}
     for item, text in items:
         words = words_of(text)
         for at in range(max(1, len(words) - window + 1) if words else 0):
-            out.setdefault(tuple(words[at : at + window]), set()).add(item)
+            out.setdefault(tuple(words[at : at + window]), set()).update(() if item is None else (item,))
     return out
 
 
@@ -157,7 +157,7 @@ def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
 
 def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, shard_symbols: int) -> DataFrame:
     """``row``, ``found`` for every row of ``rows`` (row, text)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text")).where(F.col("item").isNotNull())
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(total // (6 * block_words)) + 1
     nothing = "named_struct('n_words', 0L, 'spans', cast(array() as array<struct<start:long,end:long>>), 'items', cast(array() as array<long>))"
@@ -166,7 +166,7 @@ def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     found = ("found", pa.struct([("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64()))]))
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
+        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         phrases = rows.sparkSession.sparkContext.broadcast(Phrases(phrases_of([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.toLocalIterator()], window)))
         last = block == blocks - 1
         wanted = pa.schema([("row", pa.null()), *([] if last else [("text", pa.binary())]), found])
@@ -178,8 +178,9 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_text_col: str = "text", window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """``id``, ``n_words``, ``spans`` (merged, of words, end exclusive) and ``items`` for every row of ``docs``.
 
-    Null and wordless texts have no words and no spans; null or wordless items match nothing. Repeated rows stay
-    repeated; equal windows of several items count for each of them. With an empty benchmark nothing is hit.
+    Null and wordless texts have no words and no spans; items of such a text match nothing. An item with a null id is hit
+    like any other, but is not among ``items``. Repeated rows stay repeated; equal windows of several items count for each
+    of them. With an empty benchmark nothing is hit.
     """
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
     out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)

@@ -237,6 +237,26 @@ def test_decontamination_cases(spark, odd):
     assert decontaminate.contamination(odd.limit(0), bench).count() == 0
 
 
+def test_items_without_an_id_are_hit(spark, tmp_path):
+    import duckdb
+
+    items = [(None, "w1 w2 w3"), (None, "x y"), (7, "x y"), (None, None), (None, "..."), (3, " ".join(f"p{i}" for i in range(15))), (None, " ".join(f"p{i}" for i in range(2, 20)))]
+    docs = [(1, "w1 w2 w3 a"), (2, "x y b"), (3, " ".join(f"p{i}" for i in range(18))), (4, "a b"), (5, None), (6, "q " * 100 + "w1 w2 w3")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    con = duckdb.connect()
+    for name, df in (("documents", frame), ("benchmark", bench)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        con.execute(f"create view {name} as select * from read_parquet('{tmp_path}/{name}/*.parquet')")
+    found = con.execute(ORACLE_SQL["op9_decontamination"])
+    names, want = [d[0] for d in found.description], Counter(found.fetchall())
+    for options in ({}, {"block_words": 10}):
+        got = decontaminate.contamination(frame, bench, **options)
+        assert Counter(map(tuple, got.select(*names).collect())) == want
+        assert {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in got.collect()} == {1: (3, 0, True), 2: (2, 1, True), 3: (18, 1, True), 4: (0, 0, False), 5: (0, 0, False), 6: (3, 0, False)}
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(frame, bench, **options).collect()) == [4, 5, 6]
+
+
 # SimHash
 
 
