@@ -11,16 +11,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import shared_root
+from tessella.llm.store import dropped, fresh_path, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``node``, ``component`` (the smallest node reachable) for every node that has a link to another.
 
-    Self links, repeated links and links with a null end are ignored. An empty table gives an empty one.
+    Self links, repeated links and links with a null end are ignored. An empty table gives an empty one. Each round's
+    links are written to the shared folder, and the round before is deleted.
     """
-    shared_root(links.sparkSession)
-    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+    spark = links.sparkSession
+    edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    path = fresh_path(spark, "links")
+    edges = stored(edges, "links", path)
     before = None
     for _ in range(max_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,12 +31,10 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
         large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
-        edges = (
-            small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(low.select("u", F.col("m").alias("v")))
-            .distinct()
-            .checkpoint()
-        )
+        contracted = small.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+        last, path = path, fresh_path(spark, "links")
+        edges = stored(contracted, "links", path)
+        dropped(spark, last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

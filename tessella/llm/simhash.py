@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from tessella.llm.components import connected_components
-from tessella.llm.store import stored
+from tessella.llm.store import joined_in_parts, stored
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -138,7 +138,8 @@ def fingerprint_links(distinct: DataFrame, distance: int = 3, blocks: int = 6, c
     all links of each pair of chunks.
     """
     keys = [F.struct(F.lit(t).cast("int").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(block_masks(blocks, distance))]
-    rows = distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.table", "k.key")
+    spread = distinct.repartition(distinct.sparkSession.sparkContext.defaultParallelism, "fp")  # else the few files of a small list bound the tasks
+    rows = spread.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.table", "k.key")
     sizes = rows.groupBy("table", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = rows.join(sizes, ["table", "key"])
     parts = F.ceil(F.col("n") / F.lit(chunk)).cast("int")
@@ -167,10 +168,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = stored(fingerprints(docs, id_col, text_col), "simhash-prints")
     classes = fingerprint_classes(prints, distance, blocks)
-    classed = prints.groupBy("fp").agg(F.min("id").alias("least")).join(classes, "fp")
+    classed = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(classes, "fp")
     least = classed.groupBy("class").agg(F.min("least").alias("component_id"))
-    members = stored(classes.join(least, "class").select("fp", "component_id"), "simhash-members")
-    out = prints.join(members, "fp")
+    members = stored(classed.join(least, "class").select("fp", "component_id", "n"), "simhash-members")
+    total = members.agg(F.sum("n")).first()[0] or 0
+    out = joined_in_parts(prints, members, "fp", "n", total)
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -178,16 +180,15 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, all their columns, that stay when one row of each near-duplicate class does: that with the smallest id.
 
     Of rows with that id, the one whose text has the smallest hash stays, and of equal rows one. Null ids come last, so a class
-    of null ids alone also keeps one. Classes are those of ``near_duplicates``. Texts are shuffled once, to drop equal rows;
-    if the list of kept rows is small, not even that.
+    of null ids alone also keeps one. Classes are those of ``near_duplicates``. Columns may have any names. Texts are
+    shuffled once, to drop equal rows; if the list of kept rows is small, not even that.
     """
-    text = F.col(text_col).cast("string")
-    keys = [F.xxhash64(F.lit(k), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text, F.lit("")), F.col(id_col).isNull(), text.isNull()) for k in (0, 1)]
-    rows = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), keys[0].alias("a"), keys[1].alias("b")).alias("row"), text.alias("text"))
+    text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
+    keys = [F.xxhash64(F.lit(k), F.coalesce(own.cast("string"), F.lit("")), F.coalesce(text, F.lit("")), own.isNull(), text.isNull()) for k in (0, 1)]
+    rows = docs.select(F.struct(own.isNull().alias("none"), own.alias("id"), keys[0].alias("a"), keys[1].alias("b")).alias("row"), text.alias("text"))
     prints = stored(fingerprints(rows, "row", "text"), "simhash-prints")
     classes = fingerprint_classes(prints, distance, blocks)
     first = prints.groupBy("fp").agg(F.min("id").alias("row")).join(classes, "fp").groupBy("class").agg(F.min("row").alias("row"))
-    first = stored(first.select(F.col("row.a").alias("_kept_a"), F.col("row.b").alias("_kept_b")), "simhash-kept")
-    marked = docs.withColumns({"_row_a": keys[0], "_row_b": keys[1]})
-    kept = marked.join(first, (F.col("_row_a") == F.col("_kept_a")) & (F.col("_row_b") == F.col("_kept_b"))).drop("_kept_a", "_kept_b")
-    return kept.dropDuplicates(["_row_a", "_row_b"]).select(*docs.columns)
+    first = stored(first.select("row.a", "row.b"), "simhash-kept")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keys[0].alias("a"), keys[1].alias("b"))
+    return whole.join(first, ["a", "b"]).dropDuplicates(["a", "b"]).select("row.*")
