@@ -1,18 +1,21 @@
 """Secret scans: fixed patterns, and a guess-cost estimate for values in a credential context.
 
 The estimate is a dynamic programme over the value: the cheapest segmentation into dictionary words, dates,
-repeats, keyboard walks and brute-force spans, where a span's cost is the log10 of the guesses it takes. A value that
-stays expensive is a secret, whatever it is called; a value that is words or walks is not. One pass over each text, no shuffle.
+repeats, keyboard walks and brute-force spans, where a span's cost is the log10 of the guesses it takes and k spans may stand in
+k! orders. A value that stays expensive is a secret, whatever it is called; a value that is words or walks is not. One pass
+over each text, no shuffle.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,9 +26,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A value: between quotes up to the closing one, if a mark that ends a string or no letter or digit follows in the word; else printable ASCII up to a blank.
 _VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~])+)\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?([!-~]+)""", re.A)
-#: The names of ``assign`` and more; their values must also be hard to guess.
-_CONTEXT = re.compile(r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*""", re.I | re.A)
-_QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token", re.I | re.A)
+#: The names of ``assign`` and more, and the schemes of an authorization header; their values must also be hard to guess.
+_CONTEXT = re.compile(
+    r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*"""
+    r"""|\bbearer\x20+|\bauthorization["']?\x20*[:=]\x20*["']?(?:basic|digest|token|apikey)\x20+""", re.I | re.A)
+#: What stands between the user's name and the host of a URL.
+_URL = re.compile(r"://[^\s/:@]*:([!-~]{8,}?)@(?=[^\s/@:]*(?:[\s/:]|\Z))")
+_QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token|://", re.I | re.A)
 
 # Common words of passwords and placeholders, most guessed first.
 COMMON_WORDS = (
@@ -36,82 +43,117 @@ COMMON_WORDS = (
 )
 # Rows of a keyboard.
 KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
-_RANK = {w: k + 1 for k, w in enumerate(COMMON_WORDS)}
-_LONGEST = max(map(len, COMMON_WORDS))
 _NEXT = {(r[i], r[i + s]) for r in KEY_ROWS for i in range(len(r)) for s in (-1, 1) if 0 <= i + s < len(r)}
 _PLAIN = str.maketrans("@4301$5!7", "aaeoissit")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
+_LONG_RUN = re.compile(r"(.{1,8}?)\1{32,}")
 MAX_VALUE = 256
+_TIMES = np.concatenate([[0.0], np.cumsum(np.log10(np.arange(1, MAX_VALUE + 1)))])  # log10 of k!
 
 
-def _brute(chars: str) -> float:
-    """log10 guesses for each further character: the size of its class."""
-    return math.log10(10 if chars.isdigit() else 26 if chars.isalpha() else 33)
+def default_words() -> str:
+    import public_tokenizers
 
+    return public_tokenizers.path("word_bpe_49k.json")
 
-def guess_cost(value: str) -> float:
-    """log10 of the guesses that the cheapest segmentation takes. Each further span costs one more factor of its number.
 
-    Values over ``MAX_VALUE`` characters are costed in pieces of that length, which adds up.
+@lru_cache(maxsize=4)
+def ranked_words(path: str | None) -> tuple[dict[str, int], int]:
+    """Rank of each dictionary word from 1, and the longest word's length: ``COMMON_WORDS``, then the whole words of four letters or
+    more in the vocabulary of a tokenizer with word ends, whose ids follow how often a word was met. Without a path the first alone."""
+    words = list(COMMON_WORDS)
+    if path:
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        found = (t[:-4] for t in sorted(ids, key=ids.get) if t.endswith("</w>") and len(t) >= 8)
+        words += [w for w in found if w.isascii() and w.isalpha()]
+    ranks: dict[str, int] = {}
+    for w in words:
+        ranks.setdefault(w, len(ranks) + 1)
+    return ranks, max(map(len, ranks))
+
+
+def _letters(value: str) -> float:
+    """log10 guesses for each further character by brute force: the size of all classes of characters that the value has."""
+    classes = (any(map(str.islower, value)), 26), (any(map(str.isupper, value)), 26), (any(map(str.isdigit, value)), 10), (not value.isalnum(), 33)
+    return math.log10(sum(size for held, size in classes if held) or 1)
+
+
+def guess_cost(value: str, words: str | None = "") -> float:
+    """log10 of the guesses that the cheapest segmentation takes; ``words`` is the path of a vocabulary, the default one if empty.
+
+    A block of up to eight characters that comes more than 32 times in a row counts as 32 times. Values over ``MAX_VALUE``
+    characters are costed in pieces of that length, which adds up.
     """
-    return sum(_pieces(value))
+    return sum(_pieces(value, words))
 
 
-def _pieces(value: str) -> Iterator[float]:
-    return (_segment(value[k : k + MAX_VALUE]) for k in range(0, len(value), MAX_VALUE))
+def _pieces(value: str, words: str | None) -> Iterator[float]:
+    path = default_words() if words == "" else words
+    if len(value) > MAX_VALUE:
+        value = _LONG_RUN.sub(lambda m: m[1] * 32, value)
+    return (_segment(value[k : k + MAX_VALUE], path) for k in range(0, len(value), MAX_VALUE))
 
 
-def _takes(value: str, least_cost: float) -> bool:
+def _takes(value: str, least_cost: float, words: str | None = "") -> bool:
     """Whether ``guess_cost`` is at least ``least_cost``; no piece is costed after those that reach it."""
-    return any(cost >= least_cost for cost in accumulate(_pieces(value)))
+    return any(cost >= least_cost for cost in accumulate(_pieces(value, words)))
 
 
-@lru_cache(maxsize=10_000)
-def _segment(value: str) -> float:
+def spans_from(value: str, i: int, words: str | None) -> Iterator[tuple[int, float]]:
+    """(end, cost) of every word, date, repeat, walk and run of codes that begins at ``i``; brute force is left to the caller."""
+    ranks, longest = ranked_words(words)
     n, low = len(value), value.lower()
-    plain = low.translate(_PLAIN)
-    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]  # by end: (start, cost)
-    for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
-            rank = _RANK.get(low[i:j]) or _RANK.get(plain[i:j])
-            if rank:
-                upper = 1 + sum(c.isupper() for c in value[i:j])
-                into[j].append((i, math.log10(rank + 1) + math.log10(upper) + (0 if low[i:j] in _RANK else math.log10(4))))
-        match = _DATE.match(value, i)
+    plain, each = low.translate(_PLAIN), _letters(value)
+    for j in range(i + 3, min(n, i + longest) + 1):
+        rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
+        if rank:
+            upper = 1 + sum(c.isupper() for c in value[i:j])
+            yield j, math.log10(rank + 1) + math.log10(upper) + (0 if low[i:j] in ranks else math.log10(4))
+    for length in (4, 8, 9, 10):
+        match = _DATE.fullmatch(value, i, i + length)
         if match:
-            into[match.end()].append((i, math.log10(365 * 119) if len(match[0]) > 4 else math.log10(119)))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                into[j].append((i, _brute(value[i]) + math.log10(j - i)))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in _NEXT:
-            j += 1
-            if j - i >= 3:
-                into[j].append((i, math.log10(47 * 2) + math.log10(j - i)))
-        j = i + 1
-        step = ord(value[j]) - ord(value[i]) if j < n else 0
-        while step in (1, -1) and j < n and ord(value[j]) - ord(value[j - 1]) == step:
-            j += 1
-            if j - i >= 3:
-                into[j].append((i, math.log10(36 * 2) + math.log10(j - i)))
-        for period in range(2, 9):  # a block that comes again at once
-            j = i + period
-            while value[j : j + period] == value[i : i + period]:
-                j += period
-                into[j].append((i, sum(map(_brute, value[i : i + period])) + math.log10((j - i) // period)))
-    best = [0.0] + [math.inf] * n
-    spans = [0] * (n + 1)
-    brute = [False] * (n + 1)
+            yield match.end(), math.log10(119) if length == 4 else math.log10(365 * 119)
+    j = i + 1
+    while j < n and value[j] == value[i]:
+        j += 1
+        if j - i >= 3:
+            yield j, each + math.log10(j - i)
+    j = i + 1
+    while j < n and (low[j - 1], low[j]) in _NEXT:
+        j += 1
+        if j - i >= 3:
+            yield j, math.log10(47 * 2) + math.log10(j - i)
+    j = i + 1
+    step = ord(value[j]) - ord(value[i]) if j < n else 0
+    while step in (1, -1) and j < n and ord(value[j]) - ord(value[j - 1]) == step:
+        j += 1
+        if j - i >= 3:
+            yield j, math.log10(36 * 2) + math.log10(j - i)
+    for period in range(2, 9):  # a block that comes again at once
+        j = i + period
+        while j + period <= n and value[j : j + period] == value[i : i + period]:
+            j += period
+            yield j, period * each + math.log10((j - i) // period)
+
+
+@lru_cache(maxsize=10_000)
+def _segment(value: str, words: str | None) -> float:
+    """The least cost over all segmentations: best[j][k] is that of the first j characters in k spans, brute[j][k] the same with
+    a brute-force span at the end, which grows by a character without being one more span."""
+    n, each = len(value), _letters(value)
+    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+    for i in range(n):
+        for j, cost in spans_from(value, i, words):
+            into[j].append((i, cost))
+    best, brute = np.full((n + 1, n + 2), np.inf), np.full((n + 1, n + 2), np.inf)
+    best[0, 0] = 0
     for j in range(1, n + 1):
-        more = 0 if brute[j - 1] or j == 1 else math.log10(spans[j - 1] + 1)
-        best[j], spans[j], brute[j] = best[j - 1] + _brute(value[j - 1]) + more, spans[j - 1] + (not brute[j - 1]), True
+        brute[j, 1:] = np.minimum(brute[j - 1, 1:], best[j - 1, :-1]) + each
+        best[j] = brute[j]
         for i, cost in into[j]:
-            total = best[i] + cost + (math.log10(spans[i] + 1) if i else 0)
-            if total < best[j]:
-                best[j], spans[j], brute[j] = total, spans[i] + 1, False
-    return best[n]
+            np.minimum(best[j, 1:], best[i, :-1] + cost, out=best[j, 1:])
+    return float((best[n, : n + 1] + _TIMES[: n + 1]).min())
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -130,8 +172,9 @@ def _value_at(text: str, at: int) -> tuple[int, int]:
     return m.span(2) if m[2] else (m.start(3), m.start(3) + len(m[3].rstrip("\"',;.)]}>")))
 
 
-def guessed_spans(text: str, least_cost: float = 12.0) -> list[tuple[int, int, str]]:
-    """Values in a credential context that take 10**least_cost guesses or more; none lies inside another."""
+def guessed_spans(text: str, least_cost: float = 12.0, words: str | None = "") -> list[tuple[int, int, str]]:
+    """Values in a credential context that take 10**least_cost guesses or more; none lies inside another. Values have eight characters
+    or more; eight letters of one case alone never take 10**12 guesses."""
     if not _QUICK.search(text):
         return []
     values, at = [], 0
@@ -140,9 +183,10 @@ def guessed_spans(text: str, least_cost: float = 12.0) -> list[tuple[int, int, s
         values.append((start, end))
         at = end if end - start >= 8 else m.end()
     values += [(m.start(2), m.start(2) + len(m[2].rstrip("."))) for m in _ASSIGN.finditer(text)]
+    values += [m.span(1) for m in _URL.finditer(text)] if "://" in text else []
     out, last = [], 0
     for start, end in sorted(set(values), key=lambda v: (v[0], -v[1])):
-        if end - start >= 8 and end > last and _takes(text[start:end], least_cost):
+        if end - start >= 8 and end > last and _takes(text[start:end], least_cost, words):
             out.append((start, end, "guess"))
             last = end
     return out
@@ -152,11 +196,12 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{kind}:{start}:{end}" for start, end, kind in spans)
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 12.0) -> DataFrame:
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_cost: float = 12.0, words: str | None = "") -> DataFrame:
     """``id_col``, ``n_assign``, ``n_access``, ``n_hex``, ``base_spans`` and ``spans`` (all, joined) for every row of ``docs``.
 
-    A null text has no spans. Offsets are code points, ends exclusive. Repeated rows are scanned alike; only the id
-    and the text are read.
+    A null text has no spans. Offsets are code points, ends exclusive. Texts of any length are scanned whole, one after another.
+    Repeated rows are scanned alike; only the id and the text are read; an empty table gives an empty one. The vocabulary's
+    path (``words``) must be readable on the executors; with None the dictionary is ``COMMON_WORDS`` alone.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +210,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for value in batch.column("text"):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                every = sorted([*base, *guessed_spans(text, least_cost)], key=lambda s: (s[0], KINDS.index(s[2])))
+                every = sorted([*base, *guessed_spans(text, least_cost, words)], key=lambda s: (s[0], KINDS.index(s[2])))
                 rows.append((*(sum(s[2] == k for s in base) for k in KINDS[:3]), joined(base), joined(every)))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])], names=["id", "n_assign", "n_access", "n_hex", "base_spans", "spans"])
@@ -174,7 +219,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_spans string, spans string").withColumnRenamed("id", id_col)
 
 
-def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0) -> str:
+def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0, words: str | None = "") -> str:
     """The text with every span of a secret replaced; of an assignment only the value goes, to its last printable character."""
     cuts, last = [], 0
     for m in _ASSIGN.finditer(text):
@@ -182,7 +227,7 @@ def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0) -> str
             quoted = text[m.start(2) - 1] in "\"'"
             last = max(m.end(2), _value_at(text, m.start(2) - quoted)[1])
             cuts.append((m.start(2), last))
-    cuts += [(s, e) for s, e, k in [*base_spans(text), *guessed_spans(text, least_cost)] if k != "assign"]
+    cuts += [(s, e) for s, e, k in [*base_spans(text), *guessed_spans(text, least_cost, words)] if k != "assign"]
     out, at = [], 0
     for s, e in sorted(cuts):
         if e <= at:
@@ -193,13 +238,16 @@ def redacted(text: str, mark: str = "[SECRET]", least_cost: float = 12.0) -> str
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", least_cost: float = 12.0) -> DataFrame:
-    """``docs`` with secrets in ``text_col`` replaced by a mark; all other columns and rows as they were. Null stays null."""
+def redact_secrets(docs: DataFrame, text_col: str = "text", least_cost: float = 12.0, words: str | None = "") -> DataFrame:
+    """``docs`` with secrets in ``text_col`` replaced by a mark; all other columns and rows as they were.
+
+    Null stays null, texts of any length are masked whole, an empty table gives an empty one. Of overlapping spans the union goes.
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([t if t is None else redacted(t, least_cost=least_cost) for t in batch.column(at).to_pylist()], pa.string())
+            texts = pa.array([t if t is None else redacted(t, least_cost=least_cost, words=words) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
 
     return docs.mapInArrow(clean, schema)
