@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.store import hash_share, stored
+from tessella.llm.store import stored
 
 BUCKETS = 1 << 15
 SIZE = 32
@@ -144,21 +144,24 @@ def _featurise(batches: Iterator[pa.RecordBatch], vectors: np.ndarray) -> Iterat
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, max_train: int) -> DataFrame:
-    """``id``, ``text``, ``label`` of about ``max_train`` labelled rows at most, written once.
+    """``id``, ``text``, ``label`` of at most ``max_train`` labelled rows, written once.
 
-    A document with several labels takes their mean, rounded up at a half; null labels and ids teach nothing.
-    Rows are chosen by a hash of the id, so the sample's size is bounded whatever the size of the tables, and its
-    ids are small enough to broadcast.
+    A document with several labels takes their mean, rounded up at a half; null labels and ids teach nothing. The ids are
+    the first by a hash, so the sample is bounded whatever the size of the tables, and small enough to broadcast. Of several
+    rows of one id that with the smallest hash of its text stands for all; they are cut in each task before they meet.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
-    n = known.count()
-    chosen = known.where(hash_share("id", max_train / n if n else 1.0)).select("id", F.col("label"))
+    chosen = known.orderBy(F.xxhash64(F.lit("share"), "id"), "id").limit(max_train)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("id").isNotNull())
-    return stored(rows.join(F.broadcast(chosen), "id"), "labelled-sample")
+    one = F.min_by("text", F.struct(F.col("text").isNull(), F.xxhash64("text")))
+    return stored(rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(one.alias("text")).select("id", "text", "label"), "labelled-sample")
 
 
 def train_quality_model(sample: DataFrame) -> QualityModel | None:
-    """Fit on a bounded sample (id, text, label); None if it has no rows."""
+    """Fit on a bounded sample (id, text, label), whose size bounds what the driver receives; None if it has no rows.
+
+    A null text is an empty one, with features of zero.
+    """
     parts = sample.repartition(8, "id").select("text").mapInArrow(_contexts, "bucket int, sums array<double>").toArrow()
     vectors = np.zeros((BUCKETS, SIZE))
     for bucket, sums in zip(parts.column("bucket").chunks, parts.column("sums").chunks):
