@@ -4,9 +4,9 @@ The scripts of a word narrow its candidate languages, a character-gram model sco
 candidate, and a Viterbi pass with a switching penalty labels the words of the text, so a passage in
 another language becomes a span of its own. The text's language is the one that labels most letters.
 
-The model is a table of gram buckets by languages, fitted on a bounded sample of labelled rows
-(``per_language`` rows of each language, chosen by a hash of the id); counting runs on Spark, and the
-driver receives at most buckets x languages counts.
+The model is a sparse table of gram buckets by languages, of any number of languages, fitted on a bounded sample of
+labelled rows (``per_language`` rows of each language, chosen by a hash of the id); counting runs on Spark,
+and the driver receives the counts of grams that a language has, at most one a bucket.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 UNDETERMINED = "und"
 BUCKETS = 1 << 15
 _LETTERS = re.compile(r"[^\W\d_]+")
-_CACHE = 200_000
+_SCORES = 1 << 20  # scores of words that are kept at once
 
 # First code points of script ranges, and the script from there on.
 SCRIPT_RANGES = (
@@ -73,18 +73,33 @@ def scripts_of(words: list[str]) -> np.ndarray:
 
 @dataclass
 class LanguageModel:
+    """Log probabilities of grams by language: ``floor`` of a gram that the language lacks, and of those that it has, by bucket
+    (those of bucket b are ``begin[b]`` to ``begin[b + 1]``), the language and how much more than the floor."""
+
     languages: list[str]
     prior: np.ndarray  # log share of each language
-    weight: np.ndarray  # log probability, buckets x languages
+    floor: np.ndarray
+    begin: np.ndarray
+    language: np.ndarray
+    more: np.ndarray
     allowed: np.ndarray  # scripts x languages
     penalty: float = 12.0
 
+    def gram_scores(self, words: list[str]) -> np.ndarray:
+        """words x languages: the sums of the log probabilities of each word's grams."""
+        buckets, word = grams(words)
+        n = len(self.languages)
+        size = self.begin[buckets + 1] - self.begin[buckets]
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(self.begin[buckets], size)
+        above = np.bincount(np.repeat(word, size) * n + self.language[at], self.more[at], len(words) * n).reshape(-1, n)
+        return above + np.bincount(word, minlength=len(words))[:, None] * self.floor
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """words x languages: the grams' log probabilities over the best candidate's; a large loss outside the candidates."""
         if not words:
             return np.zeros((0, len(self.languages)))
-        buckets, word = grams(words)
-        scores = np.stack([np.bincount(word, self.weight[buckets, k], len(words)) for k in range(len(self.languages))], 1)
+        step = max(1, _SCORES // (8 * len(self.languages)))
+        scores = np.concatenate([self.gram_scores(words[k : k + step]) for k in range(0, len(words), step)])
         allowed = self.allowed[scripts_of(words)]
         scores = np.where(allowed.any(1, keepdims=True), scores, 0.0)
         scores -= np.where(allowed, scores, -np.inf).max(1, keepdims=True, initial=-1e9) * allowed.any(1, keepdims=True)
@@ -120,14 +135,14 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, prior: np.ndarray, penalty:
 
 
 class Identifier:
-    """Labels texts; keeps the scores of words already met, at most ``_CACHE`` of them."""
+    """Labels texts; keeps the scores of words already met, about ``_SCORES`` of them."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.rows, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
 
     def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
         split = [words_of(t) for t in texts]
-        if len(self.rows) > _CACHE:
+        if len(self.rows) * len(self.model.languages) > _SCORES:
             self.rows, self.table = {}, self.table[:0]
         rows = self.rows
         fresh = list({w for words in split for w in words if w not in rows})
@@ -161,51 +176,56 @@ def spans(words: list[str], labels: np.ndarray, languages: list[str]) -> list[tu
     return [(s, e, languages[labels[s]]) for s, e in zip(edges, edges[1:])]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, kind, bucket, n): gram counts, and letters by script, of each language in this task."""
+def _count(batches: Iterator[pa.RecordBatch], held: int = 64) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, bucket, n): gram counts, and letters by script, of each language in this task; at most ``held`` languages are kept at once."""
     total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for lang, counts in total.items():
+            for kind, n in enumerate(counts):
+                at = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array([kind] * at.size, pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "kind", "bucket", "n"])
+
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             words = words_of(text or "")
             if lang not in total:
+                if len(total) >= held:
+                    yield from told()
+                    total.clear()
                 total[lang] = (np.zeros(BUCKETS, np.int64), np.zeros(len(SCRIPTS), np.int64))
             for at in range(0, len(words), 1 << 16):
                 part = words[at : at + (1 << 16)]
                 total[lang][0][:] += np.bincount(grams(part)[0], minlength=BUCKETS)
                 total[lang][1][:] += np.bincount(scripts_of(part), minlength=len(SCRIPTS))
-    for lang, counts in total.items():
-        for kind, n in enumerate(counts):
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * at.size, pa.string()), pa.array([kind] * at.size, pa.int32()), pa.array(at, pa.int32()), pa.array(n[at])], names=["lang", "kind", "bucket", "n"])
+    yield from told()
 
 
-def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 4000,
-                         max_languages: int = 250, penalty: float = 12.0) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each of the ``max_languages`` most frequent languages.
+def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 4000, penalty: float = 12.0) -> LanguageModel:
+    """Fit on about ``per_language`` rows of each language.
 
-    Rows with a null text or language teach nothing; without any labelled row the model has no language.
+    Rows with a null text or language teach nothing; without any labelled row, as with an empty table, the model has no
+    language. Repeated ids are all in the sample or all not.
     """
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[0]: r[1] for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_languages).collect()}
-    if not sizes:
-        return LanguageModel([], np.zeros(0), np.zeros((BUCKETS, 0)), np.zeros((len(SCRIPTS), 0), bool), penalty)
-    share = F.lit(0)
-    for lang, n in sizes.items():
-        share = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, per_language / n) * 1_000_000))).otherwise(share)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("lang"), F.coalesce(F.col(key_col).cast("string"), F.lit(""))), F.lit(1_000_000)) < share)
-    counts = sample.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_count, "lang string, kind int, bucket int, n long")
-    counts = counts.groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(sizes, key=lambda x: (-sizes[x], x))
-    seen = np.zeros((BUCKETS, len(languages)))
+    rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key")).where("lang is not null and text is not null")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).toPandas().sort_values(["size", "lang"], ascending=[False, True])
+    languages, size = sizes["lang"].tolist(), sizes["size"].to_numpy(np.int64)
+    if not languages:
+        return LanguageModel([], np.zeros(0), np.zeros(0), np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(SCRIPTS), 0), bool), penalty)
+    shares = labelled.sparkSession.createDataFrame(list(zip(languages, (np.minimum(1.0, per_language / size) * 1_000_000).astype(int).tolist())), "lang string, share long")
+    part = F.pmod(F.xxhash64(F.lit("lang"), "key"), F.lit(1_000_000))
+    sample = rows.join(F.broadcast(shares), "lang").where(part < F.col("share")).select("lang", "text")  # a row for each language, as in the model
+    counts = sample.mapInArrow(_count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    code = np.searchsorted(np.sort(languages), counts.column("lang").to_pylist()) if counts.num_rows else np.zeros(0, np.int64)
+    code = np.argsort(languages)[code]  # the place of each row's language in ``languages``
+    kind, bucket, n = (counts.column(c).to_numpy() for c in ("kind", "bucket", "n"))
     script = np.zeros((len(SCRIPTS), len(languages)))
-    for k, lang in enumerate(languages):
-        mine = counts[counts.lang == lang]
-        for kind, to in ((0, seen), (1, script)):
-            part = mine[mine.kind == kind]
-            to[part.bucket.to_numpy(), k] = part.n.to_numpy()
-    weight = np.log((seen + 0.5) / (seen.sum(0) + 0.5 * BUCKETS))
-    prior = np.log(np.array([sizes[x] for x in languages]) / sum(sizes.values()))
-    return LanguageModel(languages, prior, weight, script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
+    script[bucket[kind == 1], code[kind == 1]] = n[kind == 1]
+    order = np.argsort(bucket[kind == 0], kind="stable")
+    bucket, language, n = bucket[kind == 0][order], code[kind == 0][order], n[kind == 0][order]
+    total = np.bincount(language, n, len(languages)) + 0.5 * BUCKETS
+    begin = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))]).astype(np.int64)
+    return LanguageModel(languages, np.log(size / size.sum()), np.log(0.5 / total), begin, language, np.log((n + 0.5) / 0.5), script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
 
 
 def predicted(identifier: Identifier, column: pa.Array, most: int = 2_500_000) -> list[tuple[str, float]]:
@@ -226,7 +246,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     """``id_col``, ``lang_pred``, ``score`` (the share of letters labelled so) for every row of ``docs``.
 
     A null text or one without letters is ``und`` with score 0, as is every text under a model of no language.
-    Equal shares go to the language with more training rows. Only the id and the text are read.
+    Equal shares go to the language with more training rows. Texts of any length are read whole, repeated rows are labelled
+    alike, and an empty table gives an empty one. Only the id and the text are read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -244,7 +265,8 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.4) -> DataFrame:
     """The rows of ``docs``, all their columns, whose language is known: not ``und``, and labelling ``least`` of the letters or more.
 
-    Null texts and texts without letters are rejected. Repeated rows are judged alike. No shuffle.
+    Null texts and texts without letters are rejected; under a model of no language every row is. Texts of any length are read
+    whole. Repeated rows are judged alike; an empty table gives an empty one. No shuffle.
     """
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
     at = docs.columns.index(text_col)
