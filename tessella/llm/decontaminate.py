@@ -5,13 +5,15 @@ part of an occurrence, so only runs of phrase words at least as long as the shor
 shard's index. Every phrase is then searched backwards through the index, its occurrences are located
 from sampled suffix positions, and overlapping occurrences merge into removal spans.
 
-No row is shuffled. The phrases are the broadcast side: they go out in blocks of at most
-``block_words`` words, and each further block is a further pass over the documents.
+No row is shuffled. The phrases are made on Spark, as pairs of a window and an item that has it, and dealt by a hash of the
+pair into blocks of about ``block_words`` words, whatever the length or number of the items. One block at a time goes out to
+the tasks; what it finds is written before the next, which is a further pass over the documents, and its broadcast is freed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.fm_index import FMIndex
+from tessella.llm.store import dropped, fresh_path, stored
 
 WINDOW = 13
 #: Keeps 0-9, a-z and bytes of code points from U+0080, lower-cases A-Z, blanks all others.
@@ -33,20 +36,30 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_FOLD).split()
 
 
-def phrases_of(items: list[tuple[int | None, bytes | None]], window: int = WINDOW) -> dict[tuple[bytes, ...], set[int]]:
-    """Every window of every item, with the ids of the items that have it; an item of fewer words is one window."""
-    out: dict[tuple[bytes, ...], set[int]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            out.setdefault(tuple(words[at : at + window]), set()).update(() if item is None else (item,))
-    return out
+def windows_of(text: bytes | None, window: int = WINDOW) -> Iterator[bytes]:
+    """Every window of an item, its words joined by blanks; an item of fewer words is one window, one without words has none."""
+    words = words_of(text)
+    return (b" ".join(words[at : at + window]) for at in range(max(1, len(words) - window + 1) if words else 0))
+
+
+def window_items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """``window``, ``item`` (as a string; null where the item has no id): distinct pairs."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                found = windows_of(text.as_py(), window)
+                while part := list(islice(found, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), pa.array([item] * len(part), pa.string())], names=["window", "item"])
+
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    return items.mapInArrow(windows, "window binary, item string").distinct()
 
 
 class Phrases:
     """A block of phrases, encoded: vocabulary, patterns padded at the left, lengths, items of each."""
 
-    def __init__(self, phrases: dict[tuple[bytes, ...], set[int]]):
+    def __init__(self, phrases: dict[tuple[bytes, ...], set[str]]):
         keys = list(phrases)
         self.vocabulary = {w: k + 1 for k, w in enumerate(sorted({w for p in keys for w in p}))}
         self.lengths = np.array([len(p) for p in keys], np.int64)
@@ -81,9 +94,9 @@ class _Shard:
             self.size += e - s + 1
         self.docs += 1
 
-    def found(self) -> list[tuple[list[tuple[int, int]], set[int]]]:
+    def found(self) -> list[tuple[list[tuple[int, int]], set[str]]]:
         """For each document of the shard: merged spans of words, and the items found."""
-        out: list[tuple[list[tuple[int, int]], set[int]]] = [([], set()) for _ in range(self.docs)]
+        out: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in range(self.docs)]
         if not self.run_at or not self.phrases.items:
             return out
         index = FMIndex(np.concatenate(self.symbols), len(self.phrases.vocabulary) + 1)
@@ -121,7 +134,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<long>>"
+_FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
 
 
 def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema, shard_symbols: int) -> Iterator[pa.RecordBatch]:
@@ -157,20 +170,30 @@ def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
 
 def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, shard_symbols: int) -> DataFrame:
     """``row``, ``found`` for every row of ``rows`` (row, text)."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).cast("string").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = int(total // (6 * block_words)) + 1
-    nothing = "named_struct('n_words', 0L, 'spans', cast(array() as array<struct<start:long,end:long>>), 'items', cast(array() as array<long>))"
+    spark = rows.sparkSession
+    pairs = stored(window_items(benchmark, item_col, item_text_col, window), "windows")
+    blocks = max(1, -(-pairs.count() * window // block_words))
+    nothing = "named_struct('n_words', 0L, 'spans', cast(array() as array<struct<start:long,end:long>>), 'items', cast(array() as array<string>))"
     rows = rows.withColumn("found", F.expr(nothing))
     kind = f"row {rows.schema['row'].dataType.simpleString()}"
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    found = ("found", pa.struct([("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.int64()))]))
+    found = ("found", pa.struct([("n_words", pa.int64()), ("spans", span), ("items", pa.list_(pa.string()))]))
+    last_path = None
     for block in range(blocks):
-        mine = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        phrases = rows.sparkSession.sparkContext.broadcast(Phrases(phrases_of([(r.item, bytes(r.text) if r.text is not None else None) for r in mine.toLocalIterator()], window)))
+        mine: dict[tuple[bytes, ...], set[str]] = {}
+        for r in pairs.where(F.pmod(F.xxhash64("window", F.coalesce("item", F.lit(""))), F.lit(blocks)) == block).toLocalIterator():  # about block_words words
+            mine.setdefault(tuple(bytes(r.window).split()), set()).update(() if r["item"] is None else (r["item"],))
+        phrases = spark.sparkContext.broadcast(Phrases(mine))
         last = block == blocks - 1
         wanted = pa.schema([("row", pa.null()), *([] if last else [("text", pa.binary())]), found])
         rows = rows.mapInArrow(lambda it, p=phrases, s=wanted: _pass(it, p.value, s, shard_symbols), f"{kind}, {'' if last else 'text binary, '}found {_FOUND}")
+        if not last:
+            path = fresh_path(spark, "searched")
+            rows = stored(rows, "searched", path)
+            phrases.destroy()
+            if last_path:
+                dropped(spark, last_path)
+            last_path = path
     return rows
 
 
@@ -178,9 +201,9 @@ def removal_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                   item_text_col: str = "text", window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
     """``id``, ``n_words``, ``spans`` (merged, of words, end exclusive) and ``items`` for every row of ``docs``.
 
-    Null and wordless texts have no words and no spans; items of such a text match nothing. An item with a null id is hit
-    like any other, but is not among ``items``. Repeated rows stay repeated; equal windows of several items count for each
-    of them. With an empty benchmark nothing is hit.
+    Null and wordless texts have no words and no spans; items of such a text match nothing. Item ids may have any type and are
+    given as strings; an item with a null id is hit like any other, but is not among ``items``. Repeated rows stay repeated;
+    equal windows of several items count for each of them. With an empty benchmark nothing is hit; empty documents give an empty table.
     """
     rows = docs.select(F.col(id_col).alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
     out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)
@@ -193,7 +216,10 @@ def _n_hit(spans: str) -> Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = 5,
                       window: int = WINDOW, block_words: int = 2_000_000, shard_symbols: int = SHARD_SYMBOLS) -> DataFrame:
-    """The rows of ``docs``, all their columns, that are not contaminated as ``contamination`` says. No row is shuffled."""
+    """The rows of ``docs``, all their columns, that are not contaminated as ``contamination`` says. No row is shuffled.
+
+    Null and wordless texts stay; columns may have any names.
+    """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
     out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)
