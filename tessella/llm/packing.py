@@ -3,13 +3,14 @@
 1. Each document becomes token ids and a closing id; it is cut into whole sequences and one remainder.
 2. Remainders are counted in length classes of ``grain`` tokens (at most ``capacity / grain`` counts reach the driver).
 3. Patterns of classes are found on that histogram (see ``cutting_stock``).
-4. Pieces are ranked inside their class, in buckets by a hash of the document so that no class, however common, is
-   one task; bucket counts added up give every piece its rank in the class, and the ranks of a class are handed out
+4. Pieces are ranked inside their class, in buckets by a hash of the row so that no class, however common, and no
+   document, however often it is repeated, is one task; bucket counts added up give every piece its rank in the class, and the ranks of a class are handed out
    to patterns. The pattern table is bounded by the number of classes and is broadcast.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 from collections.abc import Callable, Iterator
@@ -46,12 +47,23 @@ class _Recent(dict):
         return ids
 
 
+# How the tokenizer prepares a text that words may be looked up for, as its file says it.
+_BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+)
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that never joins across white space, by way of known words.
+    """Ids of whole texts. A tokenizer that lower-cases and never joins across white space is asked word by word, and known words are
+    looked up; any other tokenizer encodes whole texts.
 
-    A text is split at ASCII white space. Words of plain Latin letters go to the tokenizer's model in its own units (runs of
-    letters, single digits, runs of marks, contractions); any other word goes through the whole tokenizer. Ids of at most
-    ``keep`` recent words, and of as many recent units, are held.
+    In the first case a text is split at ASCII white space. Words of plain Latin letters go to the tokenizer's model in its own
+    units (runs of letters, single digits, runs of marks, contractions); any other word goes through the whole tokenizer. Ids
+    of at most ``keep`` recent words, and of as many recent units, are held. Special tokens' strings are ordinary text.
     """
 
     _UNITS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\sa-zß-öø-į0-9]+")
@@ -62,6 +74,9 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.by_word = (told["normalizer"], told["pre_tokenizer"]) == _BY_WORD and told["post_processor"] is None
         self.tokenize = self.whole.model.tokenize
         self.words, self.units = _Recent(self._word, keep), _Recent(self._unit, keep)
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -85,6 +100,8 @@ class WordTokenizer:
 
     def ids(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit numbers."""
+        if not self.by_word:
+            return np.array(self.whole.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.words.__getitem__, text.split()))
 
 
@@ -144,7 +161,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     spark = docs.sparkSession
     pieces = cut_documents(docs, id_col, text_col, capacity, end_id, tokenizer)
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
-    pieces = stored(pieces.withColumn("key", F.xxhash64("id", "start", "ids_crc32")), "pieces")
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # fixed once written
     histogram = pieces.groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()
     total = sum(r.n for r in histogram)
     classes = np.array([r["class"] for r in histogram], np.int64)
@@ -152,17 +169,17 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     table = spark.createDataFrame(_pattern_rows(patterns, classes), "class int, first long, end long, per int, sequence long")
 
     buckets = total // _BUCKET_ROWS + 1
-    placed = pieces.withColumn("bucket", F.pmod("key", F.lit(buckets)))
+    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     before = placed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("class", "bucket", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
-    inside = Window.partitionBy("class", "bucket").orderBy("key", "id", "start")
+    inside = Window.partitionBy("class", "bucket").orderBy("row")
     ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     fits = (ranked["class"] == table["class"]) & (ranked["rank"] >= table["first"]) & (ranked["rank"] < table["end"])
     slot = F.col("rank") - F.col("first")
-    handed = ranked.join(F.broadcast(table), fits).select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.floor(slot / F.col("per"))).alias("sequence_id"))
+    handed = ranked.join(F.broadcast(table), fits).select("row", "id", "start", "length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.floor(slot / F.col("per"))).alias("sequence_id"))
     whole = Window.partitionBy("sequence_id")
-    along = whole.orderBy(F.desc("length"), "id", "start", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    along = whole.orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
     filled = F.sum("length").over(whole)
     power = F.col("filled").bitwiseAND(F.col("filled") - 1) == 0
     out = handed.withColumns({"offset": F.coalesce(F.sum("length").over(along), F.lit(0)), "filled": filled})
