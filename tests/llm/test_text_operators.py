@@ -4,7 +4,10 @@ import re
 from collections import Counter
 from zlib import crc32
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessella.llm import language, quality, quality_rules, secrets, toxicity
@@ -89,29 +92,91 @@ def test_guess_cost_orders_values():
     assert secrets.guess_cost("") == 0
 
 
-def brute_cost(value):
-    """The cost by trying every segmentation into single characters and dictionary words."""
+def brute_cost(value, words):
+    """The least cost over every way to cut the value into spans, each of any kind that fits, written out anew."""
+    import datetime
     import math
-    from functools import lru_cache
-
-    @lru_cache(None)
-    def best(i, spans, brute):
-        if i == len(value):
-            return 0.0
-        more = 0 if brute or i == 0 else math.log10(spans + 1)
-        out = secrets._brute(value[i]) + more + best(i + 1, spans + (not brute), True)
-        for j in range(i + 3, len(value) + 1):
-            rank = secrets._RANK.get(value[i:j])
-            if rank:
-                out = min(out, math.log10(rank + 1) + (math.log10(spans + 1) if i else 0) + best(j, spans + 1, False))
-        return out
-
-    return best(0, 0, False)
-
+    from itertools import combinations
+
+    ranks = {w: k + 1 for k, w in enumerate(words)}
+    sizes = [26 * any("a" <= c <= "z" for c in value), 26 * any("A" <= c <= "Z" for c in value), 10 * any("0" <= c <= "9" for c in value), 33 * any(not c.isalnum() for c in value)]
+    each = math.log10(sum(sizes))
+    neighbours = {frozenset(p) for row in ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./") for p in zip(row, row[1:])}
+
+    def is_date(s):
+        bare = "".join(c for c in s if c not in "-/.")
+        if len(s) not in (8, 9, 10) or len(bare) != 8 or not bare.isdigit():
+            return False
+        for cut, form in (((4, 6), "%Y%m%d"), ((2, 4), "%d%m%Y")):
+            marks = bare[: cut[0]], bare[cut[0] : cut[1]], bare[cut[1] :]
+            joined = [f"{marks[0]}{x}{marks[1]}{y}{marks[2]}" for x in ("", *"-/.") for y in ("", *"-/.")]
+            day = dict(zip(("%Y", "%m", "%d") if form == "%Y%m%d" else ("%d", "%m", "%Y"), marks))
+            if s in joined and day["%Y"][:2] in ("19", "20") and 1 <= int(day["%m"]) <= 12 and 1 <= int(day["%d"]) <= 31:
+                return True
+        return False
+
+    def costs(s):
+        low, out = s.lower(), []
+        for text, more in ((low, 0), (low.translate(str.maketrans("@4301$5!7", "aaeoissit")), math.log10(4))):
+            if len(s) >= 3 and text in ranks and (not more or low not in ranks):
+                out.append(math.log10(ranks[text] + 1) + math.log10(1 + sum("A" <= c <= "Z" for c in s)) + more)
+        if is_date(s):
+            out.append(math.log10(365 * 119))
+        if len(s) == 4 and s.isdigit() and s[:2] in ("19", "20"):
+            out.append(math.log10(119))
+        if len(s) >= 3 and len(set(s)) == 1:
+            out.append(each + math.log10(len(s)))
+        if len(s) >= 3 and all(frozenset(p) in neighbours and len(set(p)) == 2 for p in zip(low, low[1:])):
+            out.append(math.log10(94) + math.log10(len(s)))
+        steps = {ord(y) - ord(x) for x, y in zip(s, s[1:])}
+        if len(s) >= 3 and steps in ({1}, {-1}):
+            out.append(math.log10(72) + math.log10(len(s)))
+        for p in range(2, 9):
+            if len(s) > p and len(s) % p == 0 and s == s[:p] * (len(s) // p):
+                out.append(p * each + math.log10(len(s) // p))
+        return min([len(s) * each, *out])
+
+    found = []
+    for k in range(len(value)):
+        for cuts in combinations(range(1, len(value)), k):
+            edges = [0, *cuts, len(value)]
+            found.append(sum(costs(value[i:j]) for i, j in zip(edges, edges[1:])) + math.log10(math.factorial(k + 1)))
+    return min(found)
+
+
+COST_CASES = ["passwordxk", "zkloginhorse", "dragonmonkey", "x20240131y", "31-12-1999", "aaaabcabc", "Qwert!zzz", "P@ssw0rd9", "abcdef9876", "ababab1990", "x7Kq9vR2mZ", "key;lkjhgf", "2024/01.31", "S3cretxxxx", "!!!==!!!=="]
+
+
+@pytest.mark.parametrize("value", COST_CASES)
+def test_guess_cost_is_the_minimum(value):
+    assert secrets.guess_cost(value, None) == pytest.approx(brute_cost(value, secrets.COMMON_WORDS), abs=1e-9)
+
+
+@given(st.text(alphabet="ab1290-!qwAS", min_size=1, max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_guess_cost_of_any_value_is_the_minimum(value):
+    assert secrets.guess_cost(value, None) == pytest.approx(brute_cost(value, secrets.COMMON_WORDS), abs=1e-9)
+
+
+def test_words_of_the_dictionary_are_no_secrets():
+    for text in ("auth: documentation", "pwd=international", "password: responsibilities", "the bearer understands everything"):
+        assert secrets.guessed_spans(text) == [], text
+    ranks, longest = secrets.ranked_words(secrets.default_words())
+    assert len(ranks) > 10_000 and ranks["password"] == 1 and longest >= 12
+
+
+@pytest.mark.parametrize("before, after", [("Authorization: Bearer ", "\n"), ("authorization: Basic ", " x"), ("postgres://user:", "@db.example.com:5432/x"), ("see https://u:", "@h.org"), ("bearer: ", " end"), ("password: ", " end")])
+def test_no_character_of_a_planted_value_is_left(before, after):
+    import random
 
-@pytest.mark.parametrize("value", ["passwordxk", "zkloginhorse", "dragonmonkeyq"])
-def test_guess_cost_is_near_the_minimum(value):
-    assert brute_cost(value) <= secrets.guess_cost(value) + 1e-9 <= brute_cost(value) + 0.5
+    rng = random.Random(before)
+    url = "://" in before
+    alphabet = [chr(c) for c in range(33, 127) if chr(c) not in "\"'\\`" and not (url and chr(c) in "@/")]
+    for n in (8, 12, 17, 40, 255, 256, 257, 700, 3000, 10_000):
+        value = f"{rng.choice('KQZ')}{''.join(rng.choice(alphabet) for _ in range(n - 4))}{rng.choice('37')}x{rng.choice('KQZ')}" if n > 8 else "x7Kq9vR2"
+        text = f"{before}{value}{after}"
+        assert secrets.guessed_spans(text) == [(len(before), len(before) + n, "guess")], (n, value[:40])
+        assert secrets.redacted(text) == f"{before}[SECRET]{after}"
 
 
 def test_redaction_keeps_the_rest(spark, odd):
@@ -209,6 +274,135 @@ def test_quality_odd_rows(spark, odd):
     assert {r.score for r in quality.score_quality(odd, empty).collect()} == {0.5}
 
 
+def viterbi_by_hand(scores, prior, penalty):
+    """The best labelling by trying every one; of equals none is preferred."""
+    from itertools import product
+
+    def total(path):
+        return prior[path[0]] + sum(scores[t][k] for t, k in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+
+    return max(map(total, product(range(len(prior)), repeat=len(scores)))), total
+
+
+@given(st.lists(st.lists(st.integers(-6, 0), min_size=3, max_size=3), min_size=1, max_size=6), st.lists(st.lists(st.integers(-6, 0), min_size=3, max_size=3), min_size=0, max_size=4), st.integers(0, 4))
+@settings(max_examples=80, deadline=None)
+def test_viterbi_is_the_best_labelling(one, two, penalty):
+    prior = np.array([-0.5, -1.0, -2.0])
+    lengths = np.array([len(two), len(one)])
+    labels = language.viterbi(np.array([*two, *one], float), lengths, prior, float(penalty))
+    for scores, mine in ((two, labels[: len(two)]), (one, labels[len(two) :])):
+        if scores:
+            best, total = viterbi_by_hand(scores, prior, penalty)
+            assert total(mine.tolist()) == pytest.approx(best)
+
+
+def test_any_number_of_languages(spark):
+    codes = [f"l{k:03d}" for k in range(330)]
+    docs = spark.createDataFrame([(k * 2 + n, " ".join([chr(97 + k // 26) + chr(97 + k % 26) * 2 + chr(97 + k // 100) * 3] * 12), c) for k, c in enumerate(codes) for n in range(2)], "doc_id long, text string, lang string")
+    model = language.train_language_model(docs)
+    assert sorted(model.languages) == codes
+    got = {r.doc_id: r.lang_pred for r in language.identify_languages(docs, model).collect()}
+    right = sum(got[r.doc_id] == r.lang for r in docs.collect())
+    assert right >= 0.95 * len(got)
+
+
+def test_sparse_scores_equal_dense_ones(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train_language_model(docs)
+    words = language.words_of(" ".join(r.text for r in docs.limit(20).collect()))[:500]
+    dense = np.repeat(model.floor[None], language.BUCKETS, 0)
+    for b in range(language.BUCKETS):
+        at = slice(model.begin[b], model.begin[b + 1])
+        dense[b, model.language[at]] += model.more[at]
+    assert np.allclose(np.exp(dense).sum(0), 1)
+    want = np.zeros((len(words), len(model.languages)))
+    for k, w in enumerate(words):
+        want[k] = dense[language.grams([w])[0]].sum(0)
+    assert np.allclose(model.gram_scores(words), want)
+
+
+def test_pooled_vectors_by_hand():
+    """A token's vector is the sum of the index vectors up to two places away and its own; a document is the mean of its tokens'."""
+    import pyarrow as pa
+
+    index = quality.index_vectors()
+    assert (np.sort(index, 1)[:, [0, 1, -2, -1]] == [-1, -1, 1, 1]).all() and (np.abs(index).sum(1) == 4).all()
+    texts = ["a b c a", "b !", ""]
+    codes = [[crc32(t.encode()) % quality.BUCKETS for t in re.findall(r"\w+|[^\w\s]+", text)] for text in texts]
+    want = np.zeros((quality.BUCKETS, quality.SIZE))
+    for c in codes:
+        for i, b in enumerate(c):
+            for j in range(max(0, i - 2), min(len(c), i + 3)):
+                want[b] += index[c[j]]
+    (out,) = quality._contexts(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    got = dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist()))
+    for b in {x for c in codes for x in c}:
+        assert np.allclose(got.get(b, np.zeros(quality.SIZE)), want[b])
+    tokens = quality.Tokens()
+    pooled = quality.features(tokens.codes(texts[0]), want.astype(np.float32))
+    assert np.allclose(pooled[: quality.SIZE], np.mean([want[b] for b in codes[0]], axis=0))
+    assert np.allclose(pooled[quality.SIZE :], [0, 0, 0, 0, 3 / 4, np.log1p(4) / 10])
+
+
+def test_the_sample_is_bounded_in_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {k % 3}") for k in range(500)] + [(k, "other") for k in range(2, 9)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(9)] + [(1, 1), (1, None), (None, 1)], "doc_id long, quality int")
+    for most in (1, 2, 100):
+        got = quality.labelled_sample(docs, labels, "quality", "doc_id", "text", most).collect()
+        assert len(got) <= most and len({r.id for r in got}) == len(got)
+    assert {(r.id, r.label) for r in got} == {(k, k % 2) for k in range(1, 9)}
+
+
+def test_likelihood_and_slopes_by_hand():
+    rng = np.random.default_rng(3)
+    dense = rng.integers(0, 3, (12, 5)) * rng.random((12, 5))
+    at = np.nonzero(dense)
+    x = toxicity.Rows(at[0], at[1], dense[at], dense.shape)
+    grade, w, theta = rng.integers(0, 4, 12), rng.normal(size=5), np.array([-0.3, 0.4, 1.7])
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(w, theta):
+        total = 0.0
+        for row, g in zip(dense, grade):
+            up = 1.0 if g == 0 else sigmoid(row @ w - theta[g - 1])
+            total -= np.log(up - (0.0 if g == 3 else sigmoid(row @ w - theta[g])))
+        return total / 12 + 0.01 / 2 * w @ w
+
+    got, by_w, by_theta = toxicity.loss_and_slopes(x, grade, w, theta, 0.01)
+    assert got == pytest.approx(loss(w, theta))
+    for k in range(5):
+        e = np.eye(5)[k] * 1e-6
+        assert by_w[k] == pytest.approx((loss(w + e, theta) - loss(w - e, theta)) / 2e-6, abs=1e-6)
+    for k in range(3):
+        e = np.eye(3)[k] * 1e-6
+        assert by_theta[k] == pytest.approx((loss(w, theta + e) - loss(w, theta - e)) / 2e-6, abs=1e-6)
+    kept = np.arange(12) % 3 > 0
+    assert np.allclose(x.where(kept).times(w), dense[kept] @ w) and np.allclose(x.back(np.arange(12.0)), dense.T @ np.arange(12.0))
+    weights, thresholds = toxicity.fit_thresholds(x, grade, rounds=2000)
+    best = toxicity.loss_and_slopes(x, grade, weights, thresholds, 1e-3)
+    assert np.abs(best[1]).max() < 1e-3 and (np.diff(thresholds) > 0).all()
+
+
+def test_every_telling_feature_is_kept(spark):
+    rows = [(k, " ".join(f"bad{k}x{n}" for n in range(300)) if k % 3 == 0 else "fine words here", int(k % 3 == 0)) for k in range(60)]
+    rows = [(i, t.replace(f"bad{i}x", "bad"), y) for i, t, y in rows]  # 300 words, all in every third row
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, toxic int"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.train_severity_model(docs, labels)
+    assert {b for n in range(300) for b in toxicity.features_of(f"bad{n}")} <= set(model.weight)
+
+
+@pytest.mark.parametrize("part", [0, 1])
+def test_toxicity_from_2000_labels(spark, part):
+    docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    mine = F.xxhash64("doc_id") % 2 == part
+    model = toxicity.train_severity_model(docs, marks.where(mine))
+    labels = {r.doc_id: r.toxic for r in marks.where(~mine).collect()}
+    got = {r.doc_id: r for r in toxicity.score_severity(docs, model).collect() if r.doc_id in labels}
+    caught = {y: [r.toxic for d, r in got.items() if labels[d] == y] for y in (0, 1)}
+    assert all((r.grade >= 1) == r.toxic for r in got.values())
+    assert sum(caught[1]) >= 0.9 * len(caught[1]) and sum(caught[0]) <= 0.02 * len(caught[0])
+
+
 def test_toxicity_held_out(spark):
     docs, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.train_severity_model(docs, marks.where("doc_id % 2 = 0"))
