@@ -80,17 +80,22 @@ class Rows:
         return Rows(at[self.row[mine]], self.column[mine], self.value[mine], (int(kept.sum()), self.shape[1]))
 
 
+def strength(n: np.ndarray) -> np.ndarray:
+    """How much ``n`` occurrences of a feature count: their number, as one alone is often chance; beyond 50 nothing is added."""
+    return np.minimum(n, 50).astype(np.float64)
+
+
 @dataclass
 class SeverityModel:
     weight: dict[int, float]  # by bucket
     thresholds: np.ndarray
 
     def at_least(self, buckets: list[int]) -> np.ndarray:
-        """P(grade >= k) for k = 1, 2, ...; a feature counts by the log of its number. Other buckets than the model's must not come."""
+        """P(grade >= k) for k = 1, 2, ...; a feature counts by ``strength``. Other buckets than the model's must not come."""
         total = 0.0
         if buckets:
             which, n = np.unique(buckets, return_counts=True)
-            total = float(np.array([self.weight[b] for b in which.tolist()]) @ np.log2(1 + n))
+            total = float(np.array([self.weight[b] for b in which.tolist()]) @ strength(n))
         return 1 / (1 + np.exp(-np.clip(total - self.thresholds, -30, 30)))
 
 
@@ -180,7 +185,7 @@ def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic
     lists = table.column("bucket").combine_chunks()
     row = np.repeat(np.arange(positive.size), np.diff(lists.offsets.to_numpy()))
     column, n = np.searchsorted(chosen, lists.flatten().to_numpy()), table.column("n").combine_chunks().flatten().to_numpy()
-    x = Rows(row, column, np.log2(1.0 + n), (positive.size, len(chosen)))
+    x = Rows(row, column, strength(n), (positive.size, len(chosen)))
     fold = np.array([crc32(i.encode()) % FOLDS for i in table.column("id").to_pylist()])
     weight, thresholds = fit_thresholds(x, graded(x, positive, fold, grades))
     return SeverityModel(dict(zip(chosen, weight.tolist())), thresholds)
