@@ -322,7 +322,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         rows = ((path, piece) for batch in batches for path, piece in zip(batch.column(0).to_pylist(), batch.column(1)))
         held: list[tuple] = []
         for _, pieces in groupby(rows, key=itemgetter(0)):
-            for found in parse_warc(piece.as_py() + END.encode() for _, piece in pieces):
+            whole = (b"\r\n\r\n" * (k > 0) + piece.as_py() for k, (_, piece) in enumerate(pieces))
+            for found in parse_warc(whole):
                 held.append(_read_row(*found))
                 if len(held) >= 1000:
                     yield _read_batch(held)
