@@ -30,13 +30,25 @@ def common_name(df: DataFrame, group: str, name: str, position: Column) -> DataF
 def quantile_cells(df: DataFrame, outer: str, inner: str, value: str, extra: str, least: int = 3) -> DataFrame:
     """Exact quartiles by (outer, inner) and by outer alone (``level`` 1), of cells with ``least`` rows or more, cut to whole numbers.
 
-    The percentile keeps each distinct value with its count, combined before the shuffle.
+    Equal values of a cell are counted before they meet. A running count along the sorted values then says which of them
+    stand at a quantile's two ranks, so no task holds a cell's values: they pass by in order, one row for each distinct value.
     """
-    whole = lambda p, c: F.percentile(c, p).cast("long")
-    cells = df.where(F.col(inner).isNotNull()).groupingSets([[outer, inner], [outer]], outer, inner).agg(
-        F.grouping(inner).cast("int").alias("level"), F.count("*").alias("n"), whole(0.25, value).alias("p25"), whole(0.5, value).alias("median"), whole(0.75, value).alias("p75"), whole(0.5, extra).alias("median_extra")
+    each = df.where(F.col(inner).isNotNull()).select(F.col(outer).alias("o"), F.col(inner).alias("i"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(value).cast("double").alias("v")), F.struct(F.lit(1).alias("kind"), F.col(extra).cast("double").alias("v")))).alias("x"))
+    counted = each.select("o", "i", "x.*").groupingSets([["o", "i", "kind", "v"], ["o", "kind", "v"]], "o", "i", "kind", "v").agg(F.grouping("i").cast("int").alias("level"), F.count("*").alias("n"))
+    cell = Window.partitionBy("o", "i", "level", "kind")
+    known = F.col("n") * F.col("v").isNotNull().cast("long")
+    counted = counted.withColumns({"upto": F.sum(known).over(cell.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)), "total": F.sum(known).over(cell)})
+
+    def at(kind: int, share: float) -> Column:
+        place = F.lit(share) * (F.col("total") - 1)
+        rank = lambda r: F.min(F.when((F.col("kind") == kind) & (F.col("upto") > r), F.col("v")))
+        low, high, part = rank(F.floor(place)), rank(F.ceil(place)), F.max(F.when(F.col("kind") == kind, place - F.floor(place)))
+        return F.when((part == 0) | (low == high), low).otherwise((1 - part) * low + part * high).cast("long")
+
+    out = counted.groupBy("o", "i", "level").agg(
+        F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), at(0, 0.25).alias("p25"), at(0, 0.5).alias("median"), at(0, 0.75).alias("p75"), at(1, 0.5).alias("median_extra")
     )
-    return cells.where(F.col("n") >= least)
+    return out.where(F.col("n") >= least).withColumnsRenamed({"o": outer, "i": inner})
 
 
 def coverage(df: DataFrame, group: str, fields: list[str], key: str) -> DataFrame:
@@ -46,6 +58,38 @@ def coverage(df: DataFrame, group: str, fields: list[str], key: str) -> DataFram
     return out.withColumns({f"pct_{f}": half_up(100.0 * F.col(f"miss_{f}") / F.col("n_rows")).cast("long") for f in fields})
 
 
+NO_FAMILY = "no family"
+
+
+def _missing(fields: list[str]) -> list[Column]:
+    return [F.count_if(F.col(f).isNull()).alias(f"miss_{f}") for f in fields]
+
+
+def brand_coverage(products: DataFrame, comments: DataFrame, fields: list[str]) -> DataFrame:
+    """Each brand's products, years, families, families with comments and missing values, the largest brand first. A product counts once."""
+    reviewed = comments.where(F.col("family_id").isNotNull()).select("family_id").distinct().withColumn("reviewed", F.col("family_id"))
+    out = products.join(reviewed, "family_id", "left").groupBy("brand").agg(
+        F.count("*").alias("n_products"), F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.countDistinct("family_id").alias("n_families"), F.countDistinct("reviewed").alias("n_families_reviewed"), *_missing(fields)
+    )
+    return out.orderBy(F.desc("n_products"), "brand")
+
+
+def family_coverage(products: DataFrame, families: DataFrame, comments: DataFrame, fields: list[str]) -> DataFrame:
+    """Each family that has products, with its products, comments and missing values, and each brand's products of no family as one more row."""
+    said = comments.groupBy(F.col("family_id").alias("id")).agg(F.count("*").alias("n_comments"))
+    counted = products.where(F.col("family_id").isNotNull()).groupBy(F.col("family_id").alias("id")).agg(F.countDistinct(products["id"]).alias("n_products"), *_missing(fields))
+    held = families.select("id", "brand", "family_name", "year_min", "year_max").join(counted, "id").join(said, "id", "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0))).drop("id")
+    orphans = products.where(F.col("family_id").isNull()).groupBy("brand").agg(F.min("year").alias("year_min"), F.max("year").alias("year_max"), F.count("*").alias("n_products"), *_missing(fields))
+    return held.unionByName(orphans.withColumns({"family_name": F.lit(NO_FAMILY), "n_comments": F.lit(0).cast("long")}))
+
+
+def catalogue_totals(products: DataFrame, families: DataFrame, comments: DataFrame, fields: list[str]) -> DataFrame:
+    """One row: products, families, comments, families with comments, and products that miss a value."""
+    mine = products.agg(F.count("*").alias("n_products"), *_missing(fields))
+    said = comments.agg(F.count("*").alias("n_comments"), F.countDistinct("family_id").alias("n_families_reviewed"))
+    return mine.crossJoin(said).crossJoin(families.agg(F.count("*").alias("n_families")))  # three rows of one
+
+
 def integrity(texts: DataFrame, parents: DataFrame, key: str, text: str, group: list[str], short: int = 15) -> DataFrame:
     """One row: rows, rows without a parent, groups of equal rows, short texts, null texts, mean length (rounded)."""
     totals = texts.agg(
@@ -95,8 +139,13 @@ def stratified(df: DataFrame, stratum: str, once: str, position: list[Column], m
     return rows.withColumn("_at", at).where(F.col("_at") <= most).drop("_at")
 
 
+def call_used(calls: Column, name: str) -> Column:
+    """Whether some call of the list (struct name, args map) is of ``name``."""
+    return F.exists(calls, lambda c: c["name"] == name)
+
+
 def calls_mention(calls: Column, name: str, pattern: str, together: bool = False) -> Column:
-    """Whether one call of ``name`` (struct name, args map) mentions a pattern; ``together``: all its calls taken as one text."""
+    """Whether one call of ``name`` mentions a pattern; ``together``: all its calls taken as one text."""
     mine = F.filter(calls, lambda c: c["name"] == name)
     texts = F.transform(mine, lambda c: F.array_join(F.map_values(c["args"]), " "))
     return F.array_join(texts, " ").rlike(f"(?i){pattern}") if together else F.exists(texts, lambda t: t.rlike(f"(?i){pattern}"))
@@ -107,6 +156,29 @@ def call_between(calls: Column, name: str, key: str, least: float, most: float)
     return F.exists(calls, lambda c: (c["name"] == name) & F.coalesce(F.element_at(c["args"], key).try_cast("double").between(least, most), F.lit(False)))
 
 
+def call_sets(calls: Column, name: str, key: str) -> Column:
+    """Whether some call of ``name`` sets an argument to something that counts: not blank, zero, false or none."""
+    said = lambda v: v.isNotNull() & ~F.lower(F.trim(v)).isin("", "0", "0.0", "false", "none", "null", "[]", "{}")
+    return F.exists(calls, lambda c: (c["name"] == name) & said(F.element_at(c["args"], key)))
+
+
+def trajectories(answers: DataFrame, expectations: DataFrame, checks: dict[str, Column], known: tuple[str, ...]) -> DataFrame:
+    """Each answered question (id, calls, stopped) with the checks that its id expects (expectations: id, label): ``n_checks``, ``n_ok``,
+    ``failed`` (labels, in order) and ``all_ok``, which also needs calls of known tools only and an answer that was not stopped.
+    ``checks`` gives each label its condition on ``calls``."""
+    passed = F.map_from_arrays(F.array(*map(F.lit, checks)), F.array(*[F.coalesce(c, F.lit(False)) for c in checks.values()]))
+    stray = F.exists("calls", lambda c: ~c["name"].isin(*known))
+    judged = answers.select("id", "stopped", stray.alias("stray"), passed.alias("passed")).join(expectations.select("id", "label").distinct(), "id")
+    judged = judged.withColumn("ok", F.element_at("passed", F.col("label")))
+    out = judged.groupBy("id").agg(F.count("*").alias("n_checks"), F.count_if("ok").alias("n_ok"), F.array_sort(F.collect_list(F.when(~F.col("ok"), F.col("label")))).alias("failed"), F.bool_or(F.col("stray") | F.col("stopped")).alias("bad"))
+    return out.select("id", "n_checks", "n_ok", "failed", ((F.col("n_ok") == F.col("n_checks")) & ~F.col("bad")).alias("all_ok"))
+
+
+def trajectory_totals(judged: DataFrame) -> DataFrame:
+    """One row: questions and checks that are right, and how many there are."""
+    return judged.agg(F.count_if("all_ok").alias("questions_ok"), F.count("*").alias("questions_total"), F.coalesce(F.sum("n_ok"), F.lit(0)).alias("checks_ok"), F.coalesce(F.sum("n_checks"), F.lit(0)).alias("checks_total"))
+
+
 def priority(n: Column, missing: list[Column]) -> tuple[Column, Column]:
     """(how many fields miss values, the score: rows times that share, to one decimal, halves upwards)."""
     lacking = sum(F.coalesce(m > 0, F.lit(False)).cast("int") for m in missing)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import all_words, norm, norm_contains, norm_value
@@ -113,8 +113,14 @@ def map_without(entries: Column, noise: tuple[str, ...]) -> Column:
 
 
 def detail_context(rows: DataFrame, group: list[str], latest: list[Column], best: Column, top: int = 5) -> DataFrame:
-    """Per group: its number of rows, its ``top`` latest as an array, and the row with the greatest ``best``. One aggregation;
-    the array holds the sort key first and is cut after sorting."""
-    return rows.groupBy(*group).agg(
-        F.count("*").alias("n_rows"), F.slice(F.sort_array(F.collect_list(F.struct(*latest)), asc=False), 1, top).alias("latest"), F.max_by(F.struct(*latest), best).alias("best")
-    )
+    """Per group: its number of rows, its ``top`` latest as an array, and the row with the greatest ``best``. The latest are ranked and
+    cut in each task before a group meets, so an array never holds more than ``top``."""
+    shown = F.struct(*latest)
+    facts = rows.groupBy(*group).agg(F.count("*").alias("n_rows"), F.max_by(shown, best).alias("best"))
+    at = F.row_number().over(Window.partitionBy(*group).orderBy(*[c.desc() for c in latest]))
+    first = rows.select(*[F.col(g).alias(f"of_{g}") for g in group], shown.alias("shown"), at.alias("at")).where(F.col("at") <= top)
+    first = first.groupBy(*[f"of_{g}" for g in group]).agg(F.sort_array(F.collect_list("shown"), asc=False).alias("latest"))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"of_{g}"))
+    return facts.join(first, same).select(*group, "n_rows", "latest", "best")

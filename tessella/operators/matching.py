@@ -62,18 +62,72 @@ def unambiguous(matches: DataFrame, payload: str) -> DataFrame:
     return found.where(F.col(payload) == F.col("last")).drop("last")
 
 
-def interval_match(source: DataFrame, rows: DataFrame, slack: int = 1) -> DataFrame:
+def _grams(text: Column, most: int) -> Column:
+    """The distinct runs of 1 to ``most`` characters of a text."""
+
+    def runs(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
+        return F.when(F.length(text) >= n, every).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.flatten(F.array(*map(runs, range(1, most + 1)))))
+
+
+def _widest(text: Column, most: int) -> Column:
+    """The distinct runs of ``most`` characters of a text, or the whole text if it is shorter."""
+    return F.filter(_grams(text, most), lambda g: F.length(g) == F.least(F.length(text), F.lit(most)))
+
+
+def contained(parts: DataFrame, wholes: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """``by``, ``part``, ``whole``: distinct texts (``by``, ``part``) with every text (``by``, ``whole``) that they are inside of.
+
+    An equi-join on ``by`` and one run of up to ``most`` characters: the part's run that fewest wholes hold. Only wholes with that
+    run are compared. Nulls and empty parts are inside of nothing.
+    """
+    held = wholes.select(*by, "whole").distinct().withColumn("gram", F.explode(_grams(F.col("whole"), most)))
+    counts = held.groupBy(*by, "gram").agg(F.count("*").alias("n"))
+    asked = parts.select(*by, "part").distinct().where(F.col("part") != "").withColumn("gram", F.explode(_widest(F.col("part"), most))).join(counts, [*by, "gram"], "left")
+    rare = asked.groupBy(*by, "part").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return rare.join(held, [*by, "gram"]).where(F.contains("whole", "part")).select(*by, "part", "whole")
+
+
+def interval_match(source: DataFrame, rows: DataFrame, slack: int = 1, width: int = 4) -> DataFrame:
     """Source (source_id, brand_key, name_key, year) to every row (row_id, brand_key, row_words, low, high) of its brand whose
-    words all occur in the name and whose years, widened by ``slack``, hold the source's; an unknown year fits all."""
-    joined = source.join(rows, "brand_key")
-    fits = F.forall("row_words", lambda w: F.contains(F.col("name_key"), w)) & (F.col("year").isNull() | F.col("year").between(F.col("low") - slack, F.col("high") + slack))
-    return joined.where((F.size("row_words") > 0) & fits).select("source_id", "row_id")
+    words all occur in the name and whose years, widened by ``slack``, hold the source's; an unknown year fits all.
+
+    Distinct names meet distinct lists of words by the longest word (see ``contained``), and only then the rows: by name, words
+    and blocks of ``width`` years, within the years that the source has. Blank words are none; rows without words match nothing.
+    """
+    words = F.array_distinct(F.filter("row_words", lambda w: w != ""))
+    rows = rows.where(~F.exists("row_words", lambda w: w.isNull())).select("row_id", "brand_key", words.alias("row_words"), "low", "high").where(F.size("row_words") > 0)
+    longest = F.array_max(F.transform("row_words", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    lists = rows.select("brand_key", "row_words").distinct().withColumn("part", longest)
+    found = contained(lists, source.select("brand_key", F.col("name_key").alias("whole")), ["brand_key"])
+    pairs = found.join(lists, ["brand_key", "part"]).where(F.forall("row_words", lambda w: F.contains(F.col("whole"), w)))
+    pairs = pairs.select("brand_key", F.col("whole").alias("name_key"), "row_words")
+    asked = source.join(pairs, ["brand_key", "name_key"]).withColumn("block", F.floor(F.col("year") / width))
+    span = source.agg(F.min("year").alias("first"), F.max("year").alias("last"))
+    clipped = rows.crossJoin(F.broadcast(span)).withColumns({"from": F.greatest(F.col("low") - slack, "first"), "to": F.least(F.col("high") + slack, "last")})  # a single row
+    dated = clipped.where("low is not null and high is not null and `from` <= `to`").withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / width), F.floor(F.col("to") / width))))
+    known = asked.where("year is not null").join(dated, ["brand_key", "row_words", "block"]).where(F.col("year").between(F.col("from"), F.col("to")))
+    undated = asked.where("year is null").join(rows, ["brand_key", "row_words"])
+    return known.select("source_id", "row_id").unionByName(undated.select("source_id", "row_id"))
 
 
 def closest_length(mentions: DataFrame, names: DataFrame, key: str) -> DataFrame:
     """Mentions (mention_id, mention, key) to the names (name_id, name, key) that contain them or are contained, of the
-    closest length; all ties stay. ``key`` is a blocking column that both share."""
-    joined = mentions.join(names, key).where(F.contains(F.col("name"), F.col("mention")) | F.contains(F.col("mention"), F.col("name")))
-    away = F.abs(F.length("name") - F.length("mention"))
-    best = F.rank().over(Window.partitionBy("mention_id").orderBy(away))
-    return joined.withColumn("best", best).where("best = 1").select("mention_id", "name_id")
+    closest length; all ties stay. Both have the same ``key``, or the mention has none, which fits all. Empty texts match nothing.
+
+    Distinct texts are matched and their least distance kept before mentions and names come back.
+    """
+    keyed = [(mentions.where(F.col(key).isNotNull()), [key]), (mentions.where(F.col(key).isNull()), [])]
+    out = []
+    for asked, by in keyed:
+        told, held = asked.select(*by, "mention"), names.select(*by, "name")
+        inside = contained(told.withColumnRenamed("mention", "part"), held.withColumnRenamed("name", "whole"), by).withColumnsRenamed({"part": "mention", "whole": "name"})
+        around = contained(held.withColumnRenamed("name", "part"), told.withColumnRenamed("mention", "whole"), by).withColumnsRenamed({"part": "name", "whole": "mention"})
+        away = F.abs(F.length("name") - F.length("mention"))
+        pairs = inside.unionByName(around).withColumn("away", away)
+        least = pairs.groupBy(*by, "mention").agg(F.min("away").alias("least"))
+        best = pairs.join(least, [*by, "mention"]).where("away = least").select(*by, "mention", "name").distinct()
+        out.append(asked.select("mention_id", "mention", *by).join(best, [*by, "mention"]).join(names.select("name_id", "name", *by), [*by, "name"]).select("mention_id", "name_id"))
+    return out[0].unionByName(out[1])

@@ -71,6 +71,12 @@ def frontier(urls: DataFrame, done: DataFrame, url: str) -> DataFrame:
     return urls.select(url).distinct().join(done.select(url), url, "left_anti")
 
 
+def answered(attempts: DataFrame, url: str, status: str) -> DataFrame:
+    """URLs that need not be asked again: those that some attempt got an answer for, be it an error page. An attempt
+    without a status, as after a network error, leaves its URL to do."""
+    return attempts.where(F.col(status).isNotNull()).select(url).distinct()
+
+
 def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """``rows`` with the columns of ``table`` (one row a key) where it has the key; others stay, with nulls."""
     return rows.join(table, key, "left")

@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
-from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.sources.readers import scratch_folder, until_exit
+
 RRF_K = 60
 BLOCK = 4096
 
@@ -53,22 +53,29 @@ def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     """``query_id``, ``id``, ``distance`` (1 - cosine), ``rank`` (from 1) of the ``k`` nearest rows of each query, exactly.
 
     Ties go to the smaller id. Null and zero vectors are never found and find nothing. Queries are read in blocks of
-    ``block`` vectors, each one pass over the rows.
+    about ``block`` vectors, each one pass over the rows; the best rows of a block are written before the next one goes out, and its
+    vectors are freed.
     """
+    spark = rows.sparkSession
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     queries = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull())
     blocks = max(1, -(-queries.count() // block))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")
     parts = []
     for b in range(blocks):
         mine = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow()
         vectors = np.array(mine.column("v").to_pylist(), np.float64).reshape(mine.num_rows, -1) if mine.num_rows else np.zeros((0, 1))
         length = np.linalg.norm(vectors, axis=1)
         ids = mine.column("id").to_numpy()[length > 0]
-        shared = rows.sparkSession.sparkContext.broadcast((ids, vectors[length > 0] / length[length > 0, None]))
-        parts.append(rows.mapInArrow(lambda it, s=shared: _best_of_partition(it, *s.value, k), "query_id long, id long, distance double"))
-    best = reduce(DataFrame.unionByName, parts)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id")).cast("long")
-    return best.withColumn("rank", rank).where(F.col("rank") <= k)
+        shared = spark.sparkContext.broadcast((ids, vectors[length > 0] / length[length > 0, None]))
+        near = rows.mapInArrow(lambda it, s=shared: _best_of_partition(it, *s.value, k), "query_id long, id long, distance double")
+        parts.append(near.withColumn("rank", rank).where(F.col("rank") <= k))
+        if blocks > 1:
+            path = scratch_folder(spark, "nearest")
+            parts[-1].write.parquet(path)
+            parts[-1] = spark.read.schema(parts[-1].schema).parquet(until_exit(spark, path))
+            shared.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
 def term_hits(text: Column, terms: list[str]) -> Column:
@@ -125,17 +132,15 @@ def rerank(pool: DataFrame, score: Column | Callable[[DataFrame], DataFrame], li
 
 
 def hashing_embedder(size: int = 64) -> Callable:
-    """A deterministic stand-in for an embedding model: hashed words, normalised, as a vectorised function over text."""
-
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> np.ndarray:
-            v = np.zeros(size, np.float32)
-            for w in (text or "").lower().split():
-                h = crc32(w.encode())
-                v[h % size] += 1 if h & 1 << 20 else -1
-            return v / max(1e-9, float(np.linalg.norm(v)))
-
-        return texts.map(one)
+    """A deterministic stand-in for an embedding model: hashed words, normalised, as a function over a column of text. Built-in functions
+    alone, so it runs in generated code; a null text has the vector of zeros."""
+
+    def embed(text: Column | str) -> Column:
+        text = F.col(text) if isinstance(text, str) else text
+        words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
+        places = F.transform(words, lambda w: F.struct(F.pmod(F.crc32(w.cast("binary")), F.lit(size)).cast("int").alias("at"), F.when(F.crc32(w.cast("binary")).bitwiseAND(1 << 20) > 0, 1.0).otherwise(-1.0).alias("by")))
+        start = F.array_repeat(F.lit(0.0), size)
+        summed = F.aggregate(places, start, lambda v, p: F.transform(v, lambda x, i: F.when(i == p["at"], x + p["by"]).otherwise(x)))
+        return F.transform(F.array(summed), lambda v: F.transform(v, lambda x: (x / F.greatest(F.lit(1e-9), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, y: s + y * y)))).cast("float")))[0]
 
     return embed

@@ -107,13 +107,9 @@ def detail_lookup_topn(spark, d):
 array_to_string(list_slice(list_reverse(list_sort(list(o_orderkey))), 1, 5), ',') AS latest_keys
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment""")
 def detail_context(spark, d):
-    from pyspark.sql import Window
-
     rows = table(spark, d, "orders").join(table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment"), "o_custkey")
-    top = rows.withColumn("at", F.row_number().over(Window.partitionBy("c_mktsegment").orderBy(F.desc("o_orderkey")))).where("at <= 5")
-    latest = filters.detail_context(top, ["c_mktsegment"], [F.col("o_orderkey")], F.col("o_orderkey")).select("c_mktsegment", F.array_join(F.transform("latest", lambda x: x["o_orderkey"].cast("string")), ",").alias("latest_keys"))
-    facts = rows.groupBy("c_mktsegment").agg(F.count("*").alias("n_rows"), F.max_by("o_orderkey", F.struct("o_totalprice", "o_orderkey")).alias("best_key"))
-    return facts.join(latest, "c_mktsegment")
+    out = filters.detail_context(rows, ["c_mktsegment"], [F.col("o_orderkey")], F.struct("o_totalprice", "o_orderkey"))
+    return out.select("c_mktsegment", "n_rows", F.col("best.o_orderkey").alias("best_key"), F.array_join(F.transform("latest", lambda x: x["o_orderkey"].cast("string")), ",").alias("latest_keys"))
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 THEN NULL ELSE json_extract_string(props, '$.k') END AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) % 10 = 0 THEN 0 ELSE 1 END AS n_left FROM events")
@@ -405,14 +401,45 @@ def constraint_cleanest(spark, d):
     return analytics.cleanest(rows, ["l_orderkey"], "b", F.col("at")).select("l_orderkey", F.array_join("b", ",").alias("cleanest"))
 
 
-@query("""SELECT user_id, bool_or(event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 20) AS click_between, bool_or(event_type = 'error' AND regexp_matches(json_extract_string(props, '$.k'), '9')) AS error_mentions,
-CAST(bool_or(event_type = 'click' AND CAST(json_extract_string(props, '$.k') AS DOUBLE) BETWEEN 10 AND 20) AS INT) + CAST(bool_or(event_type = 'error' AND regexp_matches(json_extract_string(props, '$.k'), '9')) AS INT) AS n_ok FROM events GROUP BY user_id""")
+# The lines of an order stand for the calls that answered a question: at most seven, so an order's list is bounded.
+_CALLS = """calls AS (SELECT o_orderkey AS id, o_orderpriority AS kind, o_orderstatus = 'P' AS stopped,
+bool_or(l_returnflag = 'R') AS used_r, bool_or(l_returnflag = 'A' AND l_quantity BETWEEN 10 AND 20) AS a_between, bool_or(l_returnflag = 'N' AND l_discount <> 0) AS n_discount,
+bool_or(l_returnflag = 'N' AND regexp_matches(CAST(l_linenumber AS VARCHAR) || ' ' || l_linestatus, '(?i)[34] o')) AS n_mentions,
+coalesce(regexp_matches(string_agg(CAST(l_linenumber AS VARCHAR) || ' ' || l_linestatus, ' ' ORDER BY l_linenumber, l_linestatus) FILTER (l_returnflag = 'N'), '(?i)2 o 3'), false) AS n_together, bool_or(l_linenumber = 7) AS stray
+FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+e AS (SELECT * FROM (VALUES ('1-URGENT', 'used_r'), ('1-URGENT', 'a_between'), ('2-HIGH', 'n_discount'), ('2-HIGH', 'n_mentions'), ('3-MEDIUM', 'n_together'), ('3-MEDIUM', 'used_r'), ('5-LOW', 'a_between'), ('5-LOW', 'n_mentions')) AS e(kind, label)),
+c AS (SELECT id, label, stopped OR stray AS bad, CASE label WHEN 'used_r' THEN used_r WHEN 'a_between' THEN a_between WHEN 'n_discount' THEN n_discount WHEN 'n_mentions' THEN n_mentions ELSE n_together END AS ok FROM calls JOIN e USING (kind)),
+judged AS (SELECT id, count(*) AS n_checks, count(*) FILTER (ok) AS n_ok, coalesce(string_agg(label, ',' ORDER BY label) FILTER (NOT ok), '') AS failed, bool_and(ok) AND NOT bool_or(bad) AS all_ok FROM c GROUP BY id)"""
+
+
+def _judged(spark, d):
+    name = F.when(F.col("l_linenumber") == 7, "7").otherwise(F.col("l_returnflag"))
+    text = [F.col(c).cast("string").alias(c) for c in ("l_linestatus", "l_quantity", "l_discount")]
+    every = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_returnflag").alias("flag"), name.alias("tool"), *text))).alias("c"))
+    args = lambda c: F.create_map(F.lit("line"), c["l_linenumber"].cast("string"), F.lit("status"), c["l_linestatus"], F.lit("quantity"), c["l_quantity"], F.lit("discount"), c["l_discount"])
+    every = every.withColumn("c", F.transform("c", lambda c: F.struct(c["flag"].alias("flag"), c["tool"].alias("tool"), args(c).alias("args"))))
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("kind"), (F.col("o_orderstatus") == "P").alias("stopped"))
+    said = lambda c: F.map_filter(c["args"], lambda k, v: k.isin("line", "status"))
+    calls = F.transform("c", lambda c: F.struct(c["flag"].alias("name"), c["args"].alias("args")))
+    words = F.transform("c", lambda c: F.struct(c["flag"].alias("name"), said(c).alias("args")))
+    checks = {
+        "used_r": analytics.call_used(calls, "R"), "a_between": analytics.call_between(calls, "A", "quantity", 10, 20), "n_discount": analytics.call_sets(calls, "N", "discount"),
+        "n_mentions": analytics.calls_mention(words, "N", "[34] o"), "n_together": analytics.calls_mention(words, "N", "2 o 3", together=True),
+    }
+    golden = {"1-URGENT": ("used_r", "a_between"), "2-HIGH": ("n_discount", "n_mentions"), "3-MEDIUM": ("n_together", "used_r"), "5-LOW": ("a_between", "n_mentions")}
+    expected = spark.createDataFrame([(k, label) for k, labels in golden.items() for label in labels], "kind string, label string")
+    answers = every.join(orders, "id").withColumn("calls", F.transform("c", lambda c: F.struct(c["tool"].alias("name"), c["args"].alias("args"))))
+    return analytics.trajectories(answers, orders.join(F.broadcast(expected), "kind"), checks, ("R", "A", "N"))
+
+
+@query(f"WITH {_CALLS} SELECT * FROM judged")
 def trajectory_checks(spark, d):
-    call = F.struct(F.col("event_type").alias("name"), F.from_json("props", "map<string,string>").alias("args"))
-    one = table(spark, d, "events").select("user_id", F.array(call).alias("calls"))
-    checks = one.select("user_id", analytics.call_between(F.col("calls"), "click", "k", 10, 20).alias("a"), analytics.calls_mention(F.col("calls"), "error", "9").alias("b"))
-    out = checks.groupBy("user_id").agg(F.bool_or("a").alias("click_between"), F.bool_or("b").alias("error_mentions"))
-    return out.withColumn("n_ok", F.col("click_between").cast("int") + F.col("error_mentions").cast("int"))
+    return _judged(spark, d).withColumn("failed", F.array_join("failed", ","))
+
+
+@query(f"WITH {_CALLS} SELECT count(*) FILTER (all_ok) AS questions_ok, count(*) AS questions_total, CAST(sum(n_ok) AS BIGINT) AS checks_ok, CAST(sum(n_checks) AS BIGINT) AS checks_total FROM judged")
+def trajectory_totals(spark, d):
+    return analytics.trajectory_totals(_judged(spark, d))
 
 
 @query("""WITH a AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS f FROM documents), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k FROM a WHERE f = 1) SELECT doc_id, lang, source FROM b WHERE k <= 3""")
@@ -491,9 +518,3 @@ def rot13_base64_decode(spark, d):
 @query("SELECT p_partkey, p_name FROM part WHERE p_brand || ' ' || p_name ILIKE '%1%' AND p_brand || ' ' || p_name ILIKE '%g_ar%'")
 def word_match_wildcards(spark, d):
     return table(spark, d, "part").where(all_words(F.concat("p_brand", F.lit(" "), "p_name"), "1 g_ar")).select("p_partkey", "p_name")
-
-
-@query()
-def page_comments(spark, d):
-    """Pages hold no comment tables, so this has no rows here; tests parse written pages."""
-    return extract.extract_comments(table(spark, d, "pages"), "page_id")
