@@ -105,20 +105,27 @@ def product_details(c: Catalogue, model: str, brand: str | None = None, year: in
 
 
 def family_context(c: Catalogue, families: list[int]) -> DataFrame:
-    """One row, ``context``: how many recalls there are, the latest of them, and the price estimate from most listings."""
-    recalls = c.recalls.where(F.col("family_id").isin(families))
+    """``families_context`` of the families of a few products."""
+    return families_context(c, c.products.sparkSession.createDataFrame([(f,) for f in families], "id long"))
+
+
+def families_context(c: Catalogue, families: DataFrame) -> DataFrame:
+    """One row, ``context``, for families (id): how many recalls there are, the latest of them, and the price estimate from most listings."""
+    mine = families.select(F.col("id").alias("family_id")).distinct()
+    recalls = c.recalls.join(mine, "family_id", "left_semi")
     total = recalls.agg(F.count("*").alias("known_recalls_total"))
     recent = recalls.orderBy(F.desc_nulls_last("model_year"), "campno", "family_id").limit(RECENT_RECALLS)
-    recent = recent.agg(F.sort_array(F.collect_list(F.struct(F.coalesce("model_year", F.lit(-1)).alias("at"), "campno", "model_year", "component", F.left("defect", F.lit(DEFECT_CHARS)).alias("defect"), "units_affected")), False).alias("r"))
-    recent = recent.select(F.transform("r", lambda x: F.struct(x["model_year"].alias("model_year"), x["component"].alias("component"), x["defect"].alias("defect"), x["units_affected"].alias("units_affected"))).alias("recent_recalls"))
+    shown = F.struct(F.coalesce("model_year", F.lit(-1)).alias("at"), "campno", "model_year", "component", F.left("defect", F.lit(DEFECT_CHARS)).alias("defect"), "units_affected")
+    recent = recent.agg(F.sort_array(F.collect_list(shown), False).alias("r"))  # of at most RECENT_RECALLS rows
+    recent = recent.select(F.transform("r", lambda x: F.struct(*[x[n].alias(n) for n in ("model_year", "component", "defect", "units_affected")])).alias("recent_recalls"))
     estimate = F.struct("n_listings", "price_median", "price_p25", "price_p75", "mileage_median", "snapshot_year")
-    price = c.prices.where(F.col("family_id").isin(families) & F.col("reg_year").isNull()).agg(F.max_by(estimate, F.struct(F.col("n_listings"), -F.col("family_id"))).alias("used_price_estimate"))
+    price = c.prices.join(mine, "family_id", "left_semi").where(F.col("reg_year").isNull()).agg(F.max_by(estimate, F.struct(F.col("n_listings"), -F.col("family_id"))).alias("used_price_estimate"))
     return total.crossJoin(recent).crossJoin(price).select(F.struct("known_recalls_total", "recent_recalls", "used_price_estimate").alias("context"))  # three rows of one
 
 
 def tools(c: Catalogue) -> dict[str, Tool]:
     """The tools by name, for ``requests.run_tool``."""
-    asked = lambda a: " ".join(["owner opinions experiences known issues", *(str(a[k]) for k in ("brand", "model", "category") if a.get(k))])
+    asked = lambda a: " ".join(["what owners like and complain about", *(str(a[k]) for k in ("brand", "model", "category") if a.get(k))])
     return {
         "filter_specs": Tool(lambda **a: filter_specs(c, **a), ("brand", "category", *LEAST, *MOST, "order_by", "a2_only", "count_only", "limit")),
         "search_reviews": Tool(lambda **a: search_reviews(c, **a), ("query", "brand", "model", "category", "limit"), ("query",), {"query": asked}),

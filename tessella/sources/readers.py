@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,13 +20,22 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: StructType |
 
 def flat_file(spark: SparkSession, path: str | list[str], columns: dict[str, int], least_fields: int, encoding: str = "ISO-8859-1") -> DataFrame:
     """Tab-separated lines without quotes or header; ``columns`` names positions, shorter lines are skipped. ASCII-compatible encodings only."""
-    lines = spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("escape", "").schema("line string").csv(path)
+    return fields_of(spark.read.option("encoding", encoding).option("sep", "\u0001").option("quote", "").option("escape", "").schema("line string").csv(path), columns, least_fields)
+
+
+def fields_of(lines: DataFrame, columns: dict[str, int], least_fields: int) -> DataFrame:
+    """Named fields of tab-separated ``line``, of a flat file or of a member of an archive; shorter lines are skipped."""
     parts = F.split("line", "\t")
     return lines.select(parts.alias("f")).where(F.size("f") >= least_fields).select(*[F.col("f")[at].alias(name) for name, at in columns.items()])
 
 
 def unzipped(spark: SparkSession, path: str) -> DataFrame:
     """``path``, ``member``, ``line`` of the text files in ZIP archives, read one archive a task and one line at a time."""
+    return archive_lines(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def archive_lines(archives: DataFrame) -> DataFrame:
+    """``path``, ``member``, ``line`` of ZIP archives, one a row (path, content). A null archive has no lines."""
     import io
     import zipfile
 
@@ -33,6 +44,8 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
     def lines(batches):
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if not data.is_valid:
+                    continue
                 with zipfile.ZipFile(io.BytesIO(data.as_py())) as archive:
                     for member in archive.namelist():
                         with archive.open(member) as f:
@@ -40,7 +53,7 @@ def unzipped(spark: SparkSession, path: str) -> DataFrame:
                                 text = [x.rstrip(b"\r\n").decode("latin-1") for x in part]
                                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(text)), pa.array([member] * len(text)), pa.array(text, pa.string())], names=["path", "member", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(lines, "path string, member string, line string")
+    return archives.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(lines, "path string, member string, line string")
 
 
 def csv_table(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
@@ -53,8 +66,8 @@ def journal(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def marked_sheet(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """The rows of a Markdown table, without its head and rule; cells are trimmed."""
-    cells = F.transform(F.split(F.regexp_extract("value", r"^\s*\|(.*)\|\s*$", 1), r"\|"), lambda c: F.trim(c))
+    """The rows of a Markdown table, without its head and rule; cells are trimmed, and escaped bars are bars."""
+    cells = F.transform(F.split(F.regexp_extract("value", r"^\s*\|(.*)\|\s*$", 1), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     rows = spark.read.text(path).where(r"value rlike '^\\s*\\|' and not value rlike '^\\s*\\|[\\s:|-]+$'").select(cells.alias("c"))
     return rows.where((F.size("c") == len(names)) & (F.col("c")[0] != names[0])).select(*[F.col("c")[k].alias(n) for k, n in enumerate(names)])
 
@@ -74,6 +87,21 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_sheet(df: DataFrame, path: str, columns: list[str]) -> None:
-    """Rows as lines of a Markdown table; its head is the file's business."""
-    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), F.lit(" |"))
-    df.select(line.alias("value")).write.mode("overwrite").text(path)
+    """A report of few rows as one Markdown table with its head; bars and line ends inside cells are escaped."""
+    cell = lambda c: F.regexp_replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")), r"\s*[\r\n]+\s*", " ")
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |"))
+    head = df.sparkSession.createDataFrame([(f"| {' | '.join(columns)} |",), (f"|{'---|' * len(columns)}",)], "value string").coalesce(1)
+    head.unionByName(df.select(line.alias("value"))).coalesce(1).write.mode("overwrite").text(path)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared scratch space, or else beside the warehouse's tables; it is for whoever asked to fill and delete."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/tessella-scratch"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The written folder goes when the driver ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
