@@ -3,11 +3,15 @@
 import datetime
 import math
 import os
+import re
+import subprocess
+import sys
 
 import duckdb
 import pytest
 
 import __spark_entry__
+from tessella.plans import written  # noqa: F401  adds its queries
 from tessella.plans.catalogue import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -41,6 +45,18 @@ def test_query_equals_its_sql(spark, duck, name):
     assert sorted((tuple(map(plain, r)) for r in df.select(*names).collect()), key=str) == want
 
 
+def test_every_query_has_its_sql():
+    assert set(ORACLE_SQL) == set(QUERIES)
+
+
+@pytest.mark.parametrize("blocked", ["tessella.llm", "xxhash", "corpus_pipeline"])
+def test_entry_without_the_llm_queries(blocked):
+    code = f"import sys; sys.modules[{blocked!r}] = None; import __spark_entry__ as e; print(sorted(e.queries())); assert set(e.oracle_sql()) <= set(e.queries())"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(__spark_entry__.__file__))
+    assert "spec_filter_range" in out.stdout and "pipeline" not in out.stdout, out.stderr
+    assert ("op1_" in out.stdout) == (blocked == "corpus_pipeline" and os.path.isdir(f"{os.path.dirname(__spark_entry__.__file__)}/tessella/llm"))
+
+
 def test_contract(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0 and "p_partkey" in df.columns
@@ -53,10 +69,16 @@ def test_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(p_size,10)" in plan and "TakeOrderedAndProject" in plan
 
 
+#: Joins with a side of one row, or with the fifty rows of a ranked list.
+NESTED = {"dense_negative_control": 1, "rrf_fusion": 1, "hybrid_topk": 1, "integrity_totals": 2, "catalogue_totals": 2, "family_context": 4, "substring_interval_join": 1, "recalls_inserted": 2}
+
+
 def test_no_query_needs_a_cross_product(spark):
     for name, query in QUERIES.items():
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+        rows = len(re.findall("BroadcastNestedLoopJoin", plan))
+        assert rows <= NESTED.get(name, 0), (name, plan)
 
 
 def test_nothing_but_the_entry_imports_the_llm_subpackage():

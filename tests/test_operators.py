@@ -153,3 +153,65 @@ def test_requests(spark):
     assert df.first()[:] == ("V9", None) and len(notes) == 1  # an argument's own name goes before another one
     with pytest.raises(requests.RequestError):
         requests.run_tool({"look": tool}, "find", {})
+
+
+def test_detail_context_is_bounded(spark):
+    rows = spark.createDataFrame([("a", k, k % 7) for k in range(50)] + [(None, 3, 1)], "g string, at int, w int")
+    got = {r.g: r for r in filters.detail_context(rows, ["g"], [F.col("at")], F.struct("w", "at"), 3).collect()}
+    assert [x.at for x in got["a"].latest] == [49, 48, 47] and got["a"].n_rows == 50 and got["a"].best.at == 48 and got[None].n_rows == 1
+
+
+def test_containment_restated(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abc1") for _ in range(rng.randint(0, n)))
+    parts, wholes = [(rng.randint(0, 2), text(5)) for _ in range(80)] + [(None, "a"), (0, None)], [(rng.randint(0, 2), text(9)) for _ in range(80)] + [(None, "a"), (0, None)]
+    p, w = spark.createDataFrame(parts, "k int, part string"), spark.createDataFrame(wholes, "k int, whole string")
+    want = {(k, a, b) for k, a in parts for j, b in wholes if k is not None and k == j and a and b is not None and a in b}
+    got = matching.contained(p, w, ["k"]).collect()
+    assert set(map(tuple, got)) == want and len(got) == len(want) > 20
+
+    source = [(n, rng.randint(0, 2), text(9), rng.choice([None, 1990, 1995, 2000])) for n in range(120)]
+    rows = [(n, rng.randint(0, 2), [text(3) for _ in range(rng.randint(0, 2))], rng.choice([None, 1989, 1996]), rng.choice([None, 1991, 1999])) for n in range(60)]
+    s = spark.createDataFrame(source, "source_id int, brand_key int, name_key string, year int")
+    r = spark.createDataFrame(rows, "row_id int, brand_key int, row_words array<string>, low int, high int")
+    found = {(i, j) for i, b, name, y in source for j, c, ws, lo, hi in rows if b == c and any(ws) and all(x in name for x in ws) and (y is None or (lo is not None and hi is not None and lo - 1 <= y <= hi + 1))}
+    got = matching.interval_match(s, r).collect()
+    assert {(m.source_id, m.row_id) for m in got} == found and len(got) == len(found) > 20
+
+    mentions, names = [(n, text(6), rng.choice([None, 1, 2])) for n in range(60)], [(n, text(8), rng.choice([None, 1, 2])) for n in range(60)]
+    want = set()
+    for n, m, k in mentions:
+        fits = [(abs(len(x) - len(m)), i) for i, x, j in names if m and x and (k is None or k == j) and (m in x or x in m)]
+        want |= {(n, i) for away, i in fits if away == min(fits)[0]}
+    got = matching.closest_length(spark.createDataFrame(mentions, "mention_id int, mention string, y int"), spark.createDataFrame(names, "name_id int, name string, y int"), "y").collect()
+    assert {(m.mention_id, m.name_id) for m in got} == want and len(got) == len(want) > 20
+
+
+def test_quantiles_restated(spark):
+    import numpy as np
+
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([1, 2, None]), rng.choice([None, 1.0, 2.0, 7.5, 1000.0]), rng.choice([None, None, 5.0, 9.0])) for _ in range(200)] + [("c", 1, 1.0, None)] * 2 + [("d", 1, None, None)] * 3
+    df = spark.createDataFrame(rows, "o string, i int, v double, e double")
+    cells = {}
+    for o, i, v, e in rows:
+        if i is not None:
+            for key in ((o, i, 0), (o, None, 1)):
+                cells.setdefault(key, []).append((v, e))
+    cut = lambda xs, q: int(np.quantile([x for x in xs if x is not None], q)) if any(x is not None for x in xs) else None
+    want = {k: (len(c), *(cut([v for v, _ in c], q) for q in (0.25, 0.5, 0.75)), cut([e for _, e in c], 0.5)) for k, c in cells.items() if len(c) >= 3}
+    got = {(r.o, r.i, r.level): (r.n, r.p25, r.median, r.p75, r.median_extra) for r in analytics.quantile_cells(df, "o", "i", "v", "e").collect()}
+    assert got == want
+
+
+def test_truthy_arguments_and_used_calls(spark):
+    calls = [{"name": "find", "args": {"a": "0", "b": "True", "c": " ", "d": "none"}}]
+    df = spark.createDataFrame([(calls,), ([],)], "calls array<struct<name:string,args:map<string,string>>>")
+    c = F.col("calls")
+    got = df.select(*[F.coalesce(analytics.call_sets(c, "find", k), F.lit(False)) for k in "abcde"], analytics.call_used(c, "find"), analytics.call_used(c, "look")).collect()
+    assert [list(r) for r in got] == [[False, True, False, False, False, True, False], [False] * 7]
+
+
+def test_answered_pages_are_done(spark):
+    attempts = spark.createDataFrame([("a", None), ("a", 404), ("b", None), ("c", 200)], "url string, status int")
+    assert sorted(r.url for r in merge.answered(attempts, "url", "status").collect()) == ["a", "c"]
