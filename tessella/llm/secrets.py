@@ -30,8 +30,8 @@ _VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~])+)\1(?=[,;:)\]}>]|/>|[!
 _CONTEXT = re.compile(
     r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*"""
     r"""|\bbearer\x20+|\bauthorization["']?\x20*[:=]\x20*["']?(?:basic|digest|token|apikey)\x20+""", re.I | re.A)
-#: What stands between the user's name and the host of a URL.
-_URL = re.compile(r"://[^\s/:@]*:([!-~]{8,}?)@(?=[^\s/@:]*(?:[\s/:]|\Z))")
+#: What stands between the user's name and the host of a URL. It holds no slash, so no part of a text is tried for two URLs.
+_URL = re.compile(r"://[^\s/:@]*:([!-.0-~]{8,})@")
 _QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token|://", re.I | re.A)
 
 # Common words of passwords and placeholders, most guessed first.

@@ -158,6 +158,15 @@ def test_guess_cost_of_any_value_is_the_minimum(value):
     assert secrets.guess_cost(value, None) == pytest.approx(brute_cost(value, secrets.COMMON_WORDS), abs=1e-9)
 
 
+def test_long_texts_without_blanks_take_linear_time():
+    import time
+
+    for text in ("://a:" * 100_000, "http://a.example:8080/" * 30_000, "token=" * 100_000, "bearer " * 80_000, "password='" * 60_000, "://u:" + "x@" * 200_000):
+        began = time.time()
+        secrets.redacted(text)
+        assert time.time() - began < 8, text[:30]
+
+
 def test_words_of_the_dictionary_are_no_secrets():
     for text in ("auth: documentation", "pwd=international", "password: responsibilities", "the bearer understands everything"):
         assert secrets.guessed_spans(text) == [], text
