@@ -309,8 +309,9 @@ def family_context(spark, d):
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, p_brand AS f, replace(p_name, 'e', '''') AS t, CASE WHEN l_linenumber < 5 THEN CAST(l_linenumber AS VARCHAR) END AS day, l_suppkey % 3 AS a, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#11'),
-u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY f, a, day, t ORDER BY pos) = 1)
-SELECT f AS brand, t AS comment_text, CAST(a AS VARCHAR) AS author, day AS posted_at FROM u WHERE day IS NULL OR a > 0 OR day <> '1'""")
+u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY f, a, day, t ORDER BY pos) = 1),
+o AS (SELECT f, t FROM u WHERE a = 0 AND day = '1' QUALIFY count(*) OVER (PARTITION BY f) >= 3), k AS (SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY f) >= 3)
+SELECT f AS brand, t AS comment_text, CAST(a AS VARCHAR) AS author, day AS posted_at FROM k WHERE NOT (coalesce(day = '1', false) AND a = 0 AND EXISTS (SELECT 1 FROM o WHERE o.f = k.f AND o.t = k.t))""")
 def comments_inserted(spark, d):
     """Comments by way of product and family, each once; those of the first author and day are there already, an unknown day equals none."""
     part = table(spark, d, "part")
