@@ -12,12 +12,12 @@ and each group returns a spanning forest of its links, never all its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -176,12 +176,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+_BITS = 32768  # of one bitmap
+_MAPS = 4096  # bitmaps at most: 16 MiB
+
+
+def _maybe_in(keys: DataFrame, n: int, a: str = "a", b: str = "b") -> tuple[DataFrame, Column, Callable[[Column], Column]]:
+    """Bitmaps (slot, map) of the hashes of ``n`` keys, at most ``_MAPS`` of them; a key's slot; and whether the map of its slot may hold it."""
+    maps = min(_MAPS, max(1, 1 << (16 * n // _BITS).bit_length()))
+    place = F.pmod(F.xxhash64(F.lit("map"), a, b), F.lit(maps * _BITS))
+    slot, bit = F.floor(place / _BITS).cast("int"), F.pmod(place, F.lit(_BITS)).cast("int")
+    table = keys.groupBy(slot.alias("slot")).agg(F.bitmap_construct_agg(bit.cast("long")).alias("map"))
+    byte = lambda m: F.conv(F.hex(F.substring(m, F.floor(bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return table, slot, lambda m: F.coalesce(F.call_function("shiftright", byte(m), F.pmod(bit, F.lit(8))).bitwiseAND(1) == 1, F.lit(False))
+
+
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 3, blocks: int = 6) -> DataFrame:
     """The rows of ``docs``, all their columns, that stay when one row of each near-duplicate class does: that with the smallest id.
 
     Of rows with that id, the one whose text has the smallest hash stays, and of equal rows one. Null ids come last, so a class
-    of null ids alone also keeps one. Classes are those of ``near_duplicates``. Columns may have any names. Texts are
-    shuffled once, to drop equal rows; if the list of kept rows is small, not even that.
+    of null ids alone also keeps one. Classes are those of ``near_duplicates``. Columns may have any names; an empty table gives an empty one.
+
+    Bitmaps of bounded size tell which rows may have to go or may be repeated. All others stay where they are; only those are
+    shuffled with their texts and held against the list of kept rows.
     """
     text, own = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`")
     keys = [F.xxhash64(F.lit(k), F.coalesce(own.cast("string"), F.lit("")), F.coalesce(text, F.lit("")), own.isNull(), text.isNull()) for k in (0, 1)]
@@ -190,5 +206,10 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = fingerprint_classes(prints, distance, blocks)
     first = prints.groupBy("fp").agg(F.min("id").alias("row")).join(classes, "fp").groupBy("class").agg(F.min("row").alias("row"))
     first = stored(first.select("row.a", "row.b"), "simhash-kept")
+    counted = prints.groupBy(F.col("id.a").alias("a"), F.col("id.b").alias("b")).agg(F.count("*").alias("n"))
+    open_keys = stored(counted.join(first.withColumn("kept", F.lit(True)), ["a", "b"], "left").where("kept is null or n > 1").select("a", "b"), "simhash-open")
+    maps, slot, held = _maybe_in(open_keys, open_keys.count())
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), keys[0].alias("a"), keys[1].alias("b"))
-    return whole.join(first, ["a", "b"]).dropDuplicates(["a", "b"]).select("row.*")
+    told = whole.withColumn("slot", slot).join(F.broadcast(maps), "slot", "left").withColumn("open", held(F.col("map"))).select("row", "a", "b", "open")
+    kept = told.where("open").join(first, ["a", "b"]).dropDuplicates(["a", "b"])
+    return told.where("not open").select("row").unionByName(kept.select("row")).select("row.*")

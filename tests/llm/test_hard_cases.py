@@ -179,6 +179,16 @@ def test_hot_fingerprints_and_clashing_names(spark):
     assert sum(r.doc_id < 1000 for r in kept.collect()) == 1
 
 
+@pytest.mark.parametrize("most", [1, 4096])
+def test_bitmaps_never_miss_a_key(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "_MAPS", most)
+    keys = spark.range(5000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", "id").alias("b"))
+    others = spark.range(10_000, 30_000).select(F.xxhash64("id").alias("a"), F.xxhash64("id", "id").alias("b"))
+    maps, slot, held = simhash._maybe_in(keys, 5000)
+    share = lambda df: df.withColumn("slot", slot).join(maps, "slot", "left").agg(F.avg(held(F.col("map")).cast("int"))).first()[0]
+    assert maps.count() <= most and share(keys) == 1 and share(others) < (0.3 if most == 1 else 0.1)
+
+
 @pytest.mark.parametrize("share", [2, 1000])
 def test_joins_in_parts(spark, share):
     rows = spark.createDataFrame([("h", k) for k in range(500)] + [(f"k{k % 40}", k) for k in range(100)], "key string, v int")
