@@ -3,8 +3,8 @@
 1. Each document becomes token ids and a closing id; it is cut into whole sequences and one remainder.
 2. Remainders are counted in length classes of ``grain`` tokens (at most ``capacity / grain`` counts reach the driver).
 3. Patterns of classes are found on that histogram (see ``cutting_stock``).
-4. Pieces are ranked inside their class, in buckets by a hash of the row so that no class, however common, and no
-   document, however often it is repeated, is one task; bucket counts added up give every piece its rank in the class, and the ranks of a class are handed out
+4. Pieces are ranked inside their class, in buckets of about ``_BUCKET_ROWS`` by a hash of the row, so that no class, however common,
+   and no document, however often it is repeated, is one task; bucket counts added up give every piece its rank in the class, and the ranks of a class are handed out
    to patterns. The pattern table is bounded by the number of classes and is broadcast.
 """
 
@@ -26,7 +26,7 @@ from tessella.llm.store import stored
 
 CAPACITY = 2048
 END_ID = 1
-_BUCKET_ROWS = 10_000
+_BUCKET_ROWS = 256
 
 
 class _Recent(dict):
@@ -168,8 +168,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     patterns = solve(classes, np.array([r.n for r in histogram], np.int64), -(-capacity // grain)) if total else []
     table = spark.createDataFrame(_pattern_rows(patterns, classes), "class int, first long, end long, per int, sequence long")
 
-    buckets = total // _BUCKET_ROWS + 1
-    placed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
+    buckets = spark.createDataFrame([(r["class"], r.n // _BUCKET_ROWS + 1) for r in histogram], "class int, buckets long")  # a row a class
+    placed = pieces.join(F.broadcast(buckets), "class").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets"))
     before = placed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
     up_to = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("class", "bucket", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
