@@ -17,6 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -228,18 +229,15 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     return LanguageModel(languages, np.log(size / size.sum()), np.log(0.5 / total), begin, language, np.log((n + 0.5) / 0.5), script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
 
 
-def predicted(identifier: Identifier, column: pa.Array, most: int = 2_500_000) -> list[tuple[str, float]]:
-    """(language, share of letters) of each text; texts of at most ``most`` characters together, a longer one alone."""
-    texts, at = [t or "" for t in column.to_pylist()], 0
-    out: list[tuple[str, float]] = []
-    while at < len(texts):
-        end, size = at + 1, len(texts[at])
-        while end < len(texts) and size + len(texts[end]) <= most:
-            size += len(texts[end])
-            end += 1
-        out += identifier.predict(texts[at:end])
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in slices with their texts, of about ``most`` bytes of text or one row each, so only so much is held as Python strings."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")) + at)
+        part = batch.slice(at, end - at)
+        yield part, [t or "" for t in part.column(column).to_pylist()]
         at = end
-    return out
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -253,9 +251,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
-        for batch in batches:
-            out = predicted(identifier, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["id", "lang_pred", "score"])
+        for part, texts in (x for batch in batches for x in parts_of(batch, 1)):
+            out = identifier.predict(texts)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], names=["id", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(label, f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
@@ -273,8 +271,8 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         identifier = Identifier(shared.value)
-        for batch in batches:
-            kept = [lang != UNDETERMINED and share >= least for lang, share in predicted(identifier, batch.column(at))]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        for part, texts in (x for batch in batches for x in parts_of(batch, at)):
+            kept = [lang != UNDETERMINED and share >= least for lang, share in identifier.predict(texts)]
+            yield part.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

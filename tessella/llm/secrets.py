@@ -246,8 +246,8 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", least_cost: float =
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([t if t is None else redacted(t, least_cost=least_cost, words=words) for t in batch.column(at).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(batch.columns)], names=batch.schema.names)
+        for part in (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256)):
+            texts = pa.array([t if t is None else redacted(t, least_cost=least_cost, words=words) for t in part.column(at).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([texts if k == at else c for k, c in enumerate(part.columns)], names=part.schema.names)
 
     return docs.mapInArrow(clean, schema)
