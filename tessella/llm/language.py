@@ -229,7 +229,7 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     return LanguageModel(languages, np.log(size / size.sum()), np.log(0.5 / total), begin, language, np.log((n + 0.5) / 0.5), script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
 
 
-def parts_of(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def parts_of(batch: pa.RecordBatch, column: int, most: int = 2_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """A batch in slices with their texts, of about ``most`` bytes of text or one row each, so only so much is held as Python strings."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at = 0
