@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm.language import parts_of
 
@@ -161,9 +162,10 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def decode_ids(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = None) -> DataFrame:
-    """``encoded`` with ``decoded``, the bytes of its ids. Null ids have null bytes; an id without a token is an error."""
-    path, schema = ranks or default_ranks(), encoded.schema
-    at = encoded.columns.index(ids_col)
+    """``encoded`` with ``decoded``, the bytes of its ids. Null ids have null bytes; an id without a token is an error;
+    a column ``decoded`` of before is replaced."""
+    path, encoded = ranks or default_ranks(), encoded.drop("decoded")
+    at, schema = encoded.columns.index(ids_col), StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = TreeBPE(read_ranks(path))
@@ -173,4 +175,4 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = Non
                 data = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "decoded"])
 
-    return encoded.mapInArrow(decoded, schema.add("decoded", "binary") if "decoded" not in schema.names else schema)
+    return encoded.mapInArrow(decoded, schema)
