@@ -165,14 +165,14 @@ def damage(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 def faults(rows: DataFrame) -> DataFrame:
     """Each different row of (conv, turn, role, text) once, with ``n`` and ``fault``: 'd' blank, 'e' said before by the same role, 't' truncated, or ''.
 
-    Equal rows of a turn are counted before they meet. Whether the role has said a text in an earlier turn comes from a second aggregate, a row
-    for each conversation, role and text, which marks the first of its turns; both are partial aggregates, and nothing gathers a conversation.
+    Whether the role has said a text in an earlier turn comes from an aggregate, a row for each conversation, role and text, which marks the
+    first of its turns. Equal rows of a turn are then counted together with that mark. Both are partial aggregates, and nothing gathers a
+    conversation.
     """
     key = ["conv", "turn", "role", "text"]
-    counted = rows.groupBy(*key).agg(F.sum("n").alias("n"))
-    first = counted.where("n > 0").groupBy("conv", "role", "text").agg(F.min(F.struct(F.col("turn").isNotNull().alias("known"), "turn")).alias("t"))
-    marks = first.select("conv", F.col("t.turn").alias("turn"), "role", "text", F.lit(0).cast("long").alias("n"), F.lit(1).alias("mark"))
-    both = counted.withColumn("mark", F.lit(0)).unionByName(marks).groupBy(*key).agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
+    first = rows.where("n > 0").groupBy("conv", "role", "text").agg(F.min("turn").alias("turn"), F.max(F.col("turn").isNull().cast("int")).alias("unknown"))
+    marks = first.select("conv", F.when(F.col("unknown") == 0, F.col("turn")).alias("turn"), "role", "text", F.lit(0).cast("long").alias("n"), F.lit(1).alias("mark"))
+    both = rows.select(*key, "n", F.lit(0).alias("mark")).unionByName(marks).groupBy(*key).agg(F.sum("n").alias("n"), F.max("mark").alias("mark"))
     last = F.regexp_extract("text", r"([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z", 1)
     fault = F.when(last == "", "d").when(F.col("mark") == 0, "e").when(~last.isin(".", "!", "?"), "t").otherwise("")
     return both.select(*key, "n", fault.alias("fault"))
