@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import fulltext
+from tessella.operators import bm25, fulltext
 from tessella.plans.catalogue import query
-from tessella.sources.readers import table
+from tessella.sources.readers import scratch_folder, table, until_exit
 
 #: Requests of words, phrases, ``or`` and ``-``, in words that documents have.
 REQUESTS = {
@@ -36,3 +36,11 @@ k AS (SELECT query, id, s, row_number() OVER (PARTITION BY query ORDER BY s DESC
 def search_ranked(spark, d):
     found = _found(spark, d).withColumn("score", F.round("score", 9))  # equal sums in another order are equal
     return fulltext.ranked(found, 50).withColumn("score", F.round("score", 6))
+
+
+@query(bm25.topk_sql(("documents", "doc_id", "text"), ("benchmark", "item_id", "text"), 10))
+def bm25_topk(spark, d):
+    """The documents nearest in words to each benchmark item, by a stored index."""
+    path = scratch_folder(spark, "bm25")
+    bm25.build(table(spark, d, "documents"), "doc_id", "text", path)
+    return bm25.topk(spark.read.parquet(until_exit(spark, path)), table(spark, d, "benchmark"), 10, "item_id", "text")[0]
