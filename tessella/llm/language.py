@@ -2,10 +2,12 @@
 
 The scripts of a word narrow its candidate languages, a character-gram model scores the word under each
 candidate, and a Viterbi pass with a switching penalty labels the words of the text, so a passage in
-another language becomes a span of its own. The text's language is the one that labels most letters.
+another language becomes a span of its own. Words of no learned language have a label too: it gives every gram one probability, less
+than grams of a learned language have in its texts and more than those that it lacks, and takes words of a script that none has.
+The text's language is the one that labels most letters.
 
 The model is a sparse table of gram buckets by languages, of any number of languages, fitted on a bounded sample of
-labelled rows (``per_language`` rows of each language, chosen by a hash of the id); counting runs on Spark,
+labelled rows (``per_language`` rows of each of the ``most_languages`` commonest languages, chosen by a hash of the id); counting runs on Spark,
 and the driver receives the counts of grams that a language has, at most one a bucket.
 """
 
@@ -85,6 +87,7 @@ class LanguageModel:
     more: np.ndarray
     allowed: np.ndarray  # scripts x languages
     penalty: float = 12.0
+    unknown: float = -np.inf  # log probability of every gram under no learned language
 
     def gram_scores(self, words: list[str]) -> np.ndarray:
         """words x languages: the sums of the log probabilities of each word's grams."""
@@ -96,15 +99,22 @@ class LanguageModel:
         return above + np.bincount(word, minlength=len(words))[:, None] * self.floor
 
     def word_scores(self, words: list[str]) -> np.ndarray:
-        """words x languages: the grams' log probabilities over the best candidate's; a large loss outside the candidates."""
+        """words x (languages, then none of them): the grams' log probabilities over the best label's; a large loss outside the candidates."""
         if not words:
-            return np.zeros((0, len(self.languages)))
+            return np.zeros((0, len(self.languages) + 1))
         step = max(1, _SCORES // (8 * len(self.languages)))
         scores = np.concatenate([self.gram_scores(words[k : k + step]) for k in range(0, len(words), step)])
         allowed = self.allowed[scripts_of(words)]
-        scores = np.where(allowed.any(1, keepdims=True), scores, 0.0)
-        scores -= np.where(allowed, scores, -np.inf).max(1, keepdims=True, initial=-1e9) * allowed.any(1, keepdims=True)
-        return np.where(allowed | ~allowed.any(1, keepdims=True), np.maximum(scores, -30.0), -60.0)
+        scores = np.where(allowed, scores, -np.inf)
+        none = self.unknown * np.array([2 * len(w) + 1 for w in words], np.float64)  # a word's grams
+        top = np.maximum(scores.max(1, initial=-np.inf), none)
+        lost = np.where(np.isfinite(top), top, 0.0)[:, None]
+        scores = np.where(allowed, np.maximum(scores - lost, -30.0), np.where(allowed.any(1, keepdims=True), -60.0, -30.0))
+        return np.column_stack([scores, np.where(allowed.any(1), np.maximum(none - lost[:, 0], -30.0), 0.0)])
+
+    def start(self) -> np.ndarray:
+        """The labels' log shares before any word: no learned language is as likely as the rarest of them."""
+        return np.append(self.prior, self.prior.min(initial=0.0))
 
 
 def viterbi(scores: np.ndarray, lengths: np.ndarray, prior: np.ndarray, penalty: float) -> np.ndarray:
@@ -139,9 +149,9 @@ class Identifier:
     """Labels texts; keeps the scores of words already met, about ``_SCORES`` of them."""
 
     def __init__(self, model: LanguageModel):
-        self.model, self.rows, self.table = model, {}, np.zeros((0, len(model.languages)), np.float32)
+        self.model, self.rows, self.table = model, {}, np.zeros((0, len(model.languages) + 1), np.float32)
 
-    def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+    def _labelled(self, texts: list[str]) -> list[tuple[list[str], np.ndarray, np.ndarray]]:
         split = [words_of(t) for t in texts]
         if len(self.rows) * len(self.model.languages) > _SCORES:
             self.rows, self.table = {}, self.table[:0]
@@ -152,29 +162,42 @@ class Identifier:
             self.table = np.concatenate([self.table, self.model.word_scores(fresh).astype(np.float32)])
         lengths = np.array([len(w) for w in split], np.int64)
         index = np.fromiter((rows[w] for words in split for w in words), np.int64, int(lengths.sum()))
-        labels = viterbi(self.table[index], lengths, self.model.prior, self.model.penalty)
-        return list(zip(split, np.split(labels, np.cumsum(lengths)[:-1])))
+        labels = viterbi(self.table[index], lengths, self.model.start(), self.model.penalty)
+        edges = np.cumsum(lengths)[:-1]
+        return list(zip(split, np.split(labels, edges), np.split(index, edges)))
+
+    def label(self, texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+        """The words of each text and their labels; the label after the last language is that of none."""
+        return [(words, labels) for words, labels, _ in self._labelled(texts)]
 
     def predict(self, texts: list[str]) -> list[tuple[str, float]]:
-        if not self.model.languages:
+        """The language of each text, and how sure that is: its share of all letters, times its probability among all labels by the words
+        that it labels. A text of no learned language has the one that its words are least unlike, with a score of 0."""
+        known = len(self.model.languages)
+        if not known:
             return [(UNDETERMINED, 0.0)] * len(texts)
         out = []
-        for words, labels in self.label(texts):
+        for words, labels, index in self._labelled(texts):
             if not any(c.isalpha() for w in words for c in w):  # numerals like a superscript are no letters
                 out.append((UNDETERMINED, 0.0))
                 continue
-            letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), len(self.model.languages))
-            best = int(letters.argmax())
-            out.append((self.model.languages[best], float(letters[best] / letters.sum())))
+            letters = np.bincount(labels, np.fromiter(map(len, words), np.int64, len(words)), known + 1)
+            best = int(letters[:known].argmax())
+            if not letters[best]:
+                out.append((self.model.languages[int(self.table[index, :known].sum(0).argmax())], 0.0))
+                continue
+            sums = self.table[index[labels == best]].sum(0, dtype=np.float64)
+            sure = 1 / np.exp(np.minimum(sums - sums[best], 700)).sum()
+            out.append((self.model.languages[best], float(letters[best] / letters.sum() * sure)))
         return out
 
 
 def spans(words: list[str], labels: np.ndarray, languages: list[str]) -> list[tuple[int, int, str]]:
-    """(first word, end, language) of each run of one label."""
+    """(first word, end, language) of each run of one label; ``und`` where it is no learned language."""
     if not words:
         return []
     edges = [0, *(np.flatnonzero(np.diff(labels)) + 1).tolist(), len(words)]
-    return [(s, e, languages[labels[s]]) for s, e in zip(edges, edges[1:])]
+    return [(s, e, [*languages, UNDETERMINED][labels[s]]) for s, e in zip(edges, edges[1:])]
 
 
 def _count(batches: Iterator[pa.RecordBatch], held: int = 64) -> Iterator[pa.RecordBatch]:
@@ -202,20 +225,22 @@ def _count(batches: Iterator[pa.RecordBatch], held: int = 64) -> Iterator[pa.Rec
     yield from told()
 
 
-def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 4000, penalty: float = 12.0) -> LanguageModel:
-    """Fit on about ``per_language`` rows of each language.
+def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", per_language: int = 4000, penalty: float = 12.0,
+                         most_languages: int = 1000, edge: float = 0.4) -> LanguageModel:
+    """Fit on about ``per_language`` rows of each language, of the ``most_languages`` with the most rows. ``edge`` says where no learned language
+    begins: so far down from the mean log probability of a language's own grams to that of a gram that it lacks.
 
     Rows with a null text or language teach nothing; without any labelled row, as with an empty table, the model has no
     language. Repeated ids are all in the sample or all not.
     """
     rows = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(key_col).cast("string"), F.lit("")).alias("key")).where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).toPandas().sort_values(["size", "lang"], ascending=[False, True])
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size")).orderBy(F.desc("size"), "lang").limit(most_languages).toPandas()
     languages, size = sizes["lang"].tolist(), sizes["size"].to_numpy(np.int64)
     if not languages:
         return LanguageModel([], np.zeros(0), np.zeros(0), np.zeros(BUCKETS + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros((len(SCRIPTS), 0), bool), penalty)
-    shares = labelled.sparkSession.createDataFrame(list(zip(languages, (np.minimum(1.0, per_language / size) * 1_000_000).astype(int).tolist())), "lang string, share long")
-    part = F.pmod(F.xxhash64(F.lit("lang"), "key"), F.lit(1_000_000))
-    sample = rows.join(F.broadcast(shares), "lang").where(part < F.col("share")).select("lang", "text")  # a row for each language, as in the model
+    shares = labelled.sparkSession.createDataFrame(list(zip(languages, np.minimum(1.0, per_language / size).tolist())), "lang string, share double")
+    part = F.xxhash64(F.lit("lang"), "key").cast("double") / 2.0**64 + 0.5  # even over 0 to 1, so a share of any smallness keeps its rows
+    sample = rows.join(F.broadcast(shares), "lang").where((part < F.col("share")) | (F.col("share") == 1)).select("lang", "text")  # a row for each language, as in the model
     counts = sample.mapInArrow(_count, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).toArrow()
     code = np.searchsorted(np.sort(languages), counts.column("lang").to_pylist()) if counts.num_rows else np.zeros(0, np.int64)
     code = np.argsort(languages)[code]  # the place of each row's language in ``languages``
@@ -226,7 +251,11 @@ def train_language_model(labelled: DataFrame, text_col: str = "text", lang_col:
     bucket, language, n = bucket[kind == 0][order], code[kind == 0][order], n[kind == 0][order]
     total = np.bincount(language, n, len(languages)) + 0.5 * BUCKETS
     begin = np.concatenate([[0], np.cumsum(np.bincount(bucket, minlength=BUCKETS))]).astype(np.int64)
-    return LanguageModel(languages, np.log(size / size.sum()), np.log(0.5 / total), begin, language, np.log((n + 0.5) / 0.5), script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty)
+    floor, more, grams_of = np.log(0.5 / total), np.log((n + 0.5) / 0.5), np.bincount(language, n, len(languages))
+    above = np.bincount(language, n * more, len(languages)) / grams_of.clip(1)  # of a language's own grams over its floor, on average
+    taught = grams_of > 0
+    unknown = float((floor + (1 - edge) * above)[taught].mean()) if taught.any() else -np.inf
+    return LanguageModel(languages, np.log(size / size.sum()), floor, begin, language, more, script >= 0.01 * script.sum(0, keepdims=True).clip(1), penalty, unknown)
 
 
 def parts_of(batch: pa.RecordBatch, column: int, most: int = 2_500_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -241,9 +270,10 @@ def parts_of(batch: pa.RecordBatch, column: int, most: int = 2_500_000) -> Itera
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col``, ``lang_pred``, ``score`` (the share of letters labelled so) for every row of ``docs``.
+    """``id_col``, ``lang_pred``, ``score`` (the share of letters labelled so, times how sure that language is) for every row of ``docs``.
 
-    A null text or one without letters is ``und`` with score 0, as is every text under a model of no language.
+    A null text or one without letters is ``und`` with score 0, as is every text under a model of no language. A text of no learned language
+    has the learned one that it is least unlike, with a score near 0.
     Equal shares go to the language with more training rows. Texts of any length are read whole, repeated rows are labelled
     alike, and an empty table gives an empty one. Only the id and the text are read.
     """
@@ -260,8 +290,9 @@ def identify_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc
     return out.withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``docs``, all their columns, whose language is known: not ``und``, and labelling ``least`` of the letters or more.
+def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least: float = 0.35) -> DataFrame:
+    """The rows of ``docs``, all their columns, whose language is known: not ``und``, and with a score of ``least`` or more. Texts in a script or in
+    words of no learned language are rejected.
 
     Null texts and texts without letters are rejected; under a model of no language every row is. Texts of any length are read
     whole. Repeated rows are judged alike; an empty table gives an empty one. No shuffle.
