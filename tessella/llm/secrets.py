@@ -13,9 +13,7 @@ import math
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +22,15 @@ KINDS = ("assign", "access", "hex", "guess")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-#: A value: between quotes up to the closing one, if a mark that ends a string or no letter or digit follows in the word; else printable ASCII up to a blank.
-_VALUE = re.compile(r"""(["'])((?:\\[!-~]|(?!\1|\\)[!-~])+)\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?([!-~]+)""", re.A)
-#: The names of ``assign`` and more, and the schemes of an authorization header; their values must also be hard to guess.
+#: A value: between quotes up to the closing one on its line, if a mark that ends a string or no letter or digit follows in the word; else all up to a blank.
+_VALUE = re.compile(r"""(["'])((?:\\[^\r\n]|(?!\1|\\)[^\r\n])+)\1(?=[,;:)\]}>]|/>|[!-/:-@\[-`{-~]*(?:[^!-~]|\Z))|["']?(\S+)""")
+_NAMES = r"(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[-_\x20]?key|private[-_\x20]?key|client[-_\x20]?secret|secret|token|api[-_\x20]?key)"
+#: The names of ``assign`` and more, with a mark of assignment (the value may stand on the next line), as an option or as an element; and the
+#: schemes of an authorization header. Their values must also be hard to guess.
 _CONTEXT = re.compile(
-    r"""(?:password|passwd|passphrase|pass|pwd|auth|bearer|credentials?|access[_-]?key|private[_-]?key|client[_-]?secret|secret|token|api_?key)["']?\x20*[:=]\x20*"""
+    rf"""{_NAMES}["']?[\x20\t]*(?::=|=>|[:=])[\x20\t]*(?:\r?\n[\x20\t]*)?|(?<!\S)--{_NAMES}[\x20\t]+|<(?P<element>{_NAMES})>"""
     r"""|\bbearer\x20+|\bauthorization["']?\x20*[:=]\x20*["']?(?:basic|digest|token|apikey)\x20+""", re.I | re.A)
+_INSIDE = re.compile(r"[^<\r\n]+")
 #: What stands between the user's name and the host of a URL. It holds no slash, so no part of a text is tried for two URLs.
 _URL = re.compile(r"://[^\s/:@]*:([!-.0-~]{8,})@")
 _QUICK = re.compile(r"pass|pwd|auth|bearer|credential|key|secret|token|://", re.I | re.A)
@@ -46,9 +47,7 @@ KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 _NEXT = {(r[i], r[i + s]) for r in KEY_ROWS for i in range(len(r)) for s in (-1, 1) if 0 <= i + s < len(r)}
 _PLAIN = str.maketrans("@4301$5!7", "aaeoissit")
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-_LONG_RUN = re.compile(r"(.{1,8}?)\1{32,}")
-MAX_VALUE = 256
-_TIMES = np.concatenate([[0.0], np.cumsum(np.log10(np.arange(1, MAX_VALUE + 1)))])  # log10 of k!
+_LONG_RUN = re.compile(r"(.{1,8}?)\1{32,}", re.S)
 
 
 def default_words() -> str:
@@ -75,29 +74,35 @@ def ranked_words(path: str | None) -> tuple[dict[str, int], int]:
 
 def _letters(value: str) -> float:
     """log10 guesses for each further character by brute force: the size of all classes of characters that the value has."""
-    classes = (any(map(str.islower, value)), 26), (any(map(str.isupper, value)), 26), (any(map(str.isdigit, value)), 10), (not value.isalnum(), 33)
+    classes = (any(map(str.islower, value)), 26), (any(map(str.isupper, value)), 26), (any(map(str.isdigit, value)), 10), (not value.isalnum(), 33), (not value.isascii(), 100)
     return math.log10(sum(size for held, size in classes if held) or 1)
 
 
 def guess_cost(value: str, words: str | None = "") -> float:
-    """log10 of the guesses that the cheapest segmentation takes; ``words`` is the path of a vocabulary, the default one if empty.
+    """log10 of the guesses that the cheapest segmentation of the whole value takes; ``words`` is the path of a vocabulary, the default one if empty.
 
-    A block of up to eight characters that comes more than 32 times in a row counts as 32 times. Values over ``MAX_VALUE``
-    characters are costed in pieces of that length, which adds up.
+    A block of up to eight characters that comes more than 32 times in a row counts as 32 times, in values of any length.
     """
-    return sum(_pieces(value, words))
+    return _least(value, math.inf, words)
 
 
-def _pieces(value: str, words: str | None) -> Iterator[float]:
-    path = default_words() if words == "" else words
-    if len(value) > MAX_VALUE:
-        value = _LONG_RUN.sub(lambda m: m[1] * 32, value)
-    return (_segment(value[k : k + MAX_VALUE], path) for k in range(0, len(value), MAX_VALUE))
+def _takes(value: str, least_cost: float, words: str | None = "") -> bool:
+    """Whether ``guess_cost`` is at least ``least_cost``; ends where no beginning of a segmentation costs less."""
+    return _least(value, least_cost, words) >= least_cost
 
 
-def _takes(value: str, least_cost: float, words: str | None = "") -> bool:
-    """Whether ``guess_cost`` is at least ``least_cost``; no piece is costed after those that reach it."""
-    return any(cost >= least_cost for cost in accumulate(_pieces(value, words)))
+def _front(states: list[tuple[int, float]], most: float) -> list[tuple[int, float]]:
+    """Of (spans, cost) those that no other has both at most; what costs ``most`` already goes."""
+    out: list[tuple[int, float]] = []
+    for k, cost in sorted(states):
+        if (not out or cost < out[-1][1]) and cost + _orders(k) < most:
+            out.append((k, cost))
+    return out
+
+
+@lru_cache(maxsize=1 << 16)
+def _orders(k: int) -> float:
+    return math.lgamma(k + 1) / math.log(10)  # log10 of k!
 
 
 def spans_from(value: str, i: int, words: str | None) -> Iterator[tuple[int, float]]:
@@ -138,22 +143,28 @@ def spans_from(value: str, i: int, words: str | None) -> Iterator[tuple[int, flo
 
 
 @lru_cache(maxsize=10_000)
-def _segment(value: str, words: str | None) -> float:
-    """The least cost over all segmentations: best[j][k] is that of the first j characters in k spans, brute[j][k] the same with
-    a brute-force span at the end, which grows by a character without being one more span."""
+def _least(value: str, most: float, words: str | None) -> float:
+    """The least cost over all segmentations, or infinity if it is ``most`` or more.
+
+    Beginnings of a segmentation that end at the same place differ by how many spans they have and what these cost; one with more of both can
+    never become the cheapest. ``brute`` are those that end in a brute-force span, which grows by a character without being one more span.
+    """
+    path = default_words() if words == "" else words
+    value = _LONG_RUN.sub(lambda m: m[1] * 32, value)
     n, each = len(value), _letters(value)
-    into: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-    for i in range(n):
-        for j, cost in spans_from(value, i, words):
-            into[j].append((i, cost))
-    best, brute = np.full((n + 1, n + 2), np.inf), np.full((n + 1, n + 2), np.inf)
-    best[0, 0] = 0
-    for j in range(1, n + 1):
-        brute[j, 1:] = np.minimum(brute[j - 1, 1:], best[j - 1, :-1]) + each
-        best[j] = brute[j]
-        for i, cost in into[j]:
-            np.minimum(best[j, 1:], best[i, :-1] + cost, out=best[j, 1:])
-    return float((best[n, : n + 1] + _TIMES[: n + 1]).min())
+    ending: dict[int, list[tuple[int, float]]] = {0: [(0, 0.0)]}
+    brute: list[tuple[int, float]] = []
+    for at in range(n):
+        states = _front(ending.pop(at, []) + brute, most)
+        if not states:
+            if not ending:
+                return math.inf
+            brute = []
+            continue
+        for end, cost in spans_from(value, at, path):
+            ending.setdefault(end, []).extend((k + 1, c + cost) for k, c in states)
+        brute = _front([(k, c + each) for k, c in brute] + [(k + 1, c + each) for k, c in states], most)
+    return min((c + _orders(k) for k, c in _front(ending.pop(n, []) + brute, most)), default=math.inf)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -164,11 +175,14 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def _value_at(text: str, at: int) -> tuple[int, int]:
-    """(start, end) of the value whose opening quote or first character is at ``at``; without quotes, closing marks are not part of it."""
-    m = _VALUE.match(text, at)
+def _value_at(text: str, at: int, element: bool = False) -> tuple[int, int]:
+    """(start, end) of the value whose opening quote or first character is at ``at``; without quotes, closing marks are not part of it. The value of an
+    element ends where its end mark begins."""
+    m = (_INSIDE if element else _VALUE).match(text, at)
     if not m:
         return at, at
+    if element:
+        return m.span()
     return m.span(2) if m[2] else (m.start(3), m.start(3) + len(m[3].rstrip("\"',;.)]}>")))
 
 
@@ -179,7 +193,7 @@ def guessed_spans(text: str, least_cost: float = 12.0, words: str | None = "") -
         return []
     values, at = [], 0
     while m := _CONTEXT.search(text, at):
-        start, end = _value_at(text, m.end())
+        start, end = _value_at(text, m.end(), bool(m["element"]))
         values.append((start, end))
         at = end if end - start >= 8 else m.end()
     values += [(m.start(2), m.start(2) + len(m[2].rstrip("."))) for m in _ASSIGN.finditer(text)]

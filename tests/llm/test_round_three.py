@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import divergence, queries, repair, tree_bpe
+from tessella.llm import divergence, language, queries, repair, secrets, tree_bpe
 
 SF = "/root/testdata/sf0.01"
 
@@ -255,3 +255,85 @@ def test_queries_against_sql(spark, name):
     names = sorted(found.columns)
     assert sorted(want.columns) == names
     assert sorted(map(tuple, found.select(*names).collect())) == sorted(map(tuple, want[names].values.tolist()))
+
+
+# Languages that nothing teaches
+
+
+def test_texts_of_no_learned_language_score_low(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language.train_language_model(docs)
+    other = {
+        "zh": "这是一个关于今天新闻的普通文本，明天会下雨，大家要带伞。", "ru": "Вчера вечером мы пошли в кино посмотреть новый фильм, который все советовали.",
+        "th": "เมื่อวานนี้เราไปดูหนังเรื่องใหม่", "fi": "Tämä on tavallinen suomenkielinen teksti, jossa kerrotaan päivän uutisista ja säästä koko maassa.",
+        "rnd": "xqzv wkjp lmrtq bvcxz pqwk jhgfd zxcvb qwrtp mnbvc lkjhg fdsqw",
+    }
+    rows = spark.createDataFrame([(k, t) for k, t in other.items()], "doc_id string, text string")
+    got = language.identify_languages(rows, model).collect()
+    assert len(got) == 5 and all(r.lang_pred in model.languages and r.score < 0.35 for r in got)
+    assert language.keep_identified(rows, model).collect() == []
+    clean = docs.where("length(text) > 200")
+    assert language.keep_identified(clean, model).count() == clean.count()
+    inside = docs.where("lang = 'en' and length(text) > 900").first().text
+    words, labels = language.Identifier(model).label([inside[:400] + " " + other["zh"] + " " + other["ru"] + " " + inside[400:800]])[0]
+    assert [x[2] for x in language.spans(words, labels, model.languages)] == ["en", "und", "en"]
+
+
+def test_a_share_of_any_smallness_keeps_rows(spark):
+    rows = spark.range(3000).selectExpr("id as doc_id", "'alpha beta gamma' as text", "if(id < 2990, 'big', 'small') as lang")
+    model = language.train_language_model(rows, per_language=1)
+    assert model.languages == ["big", "small"] and language.train_language_model(rows, most_languages=1).languages == ["big"]
+    assert language.identify_languages(rows.limit(3), model).count() == 3
+
+
+# Secrets in quotes and other contexts
+
+
+@pytest.mark.parametrize("before, value, after", [
+    ('password = "', "K9#v Q!x2Lm8Zt#4Rw7 pL0uY7#e", '"\nnext'), ('password = "', "K9#vQ!x2Lm8Ztüü#4Rw7pL0uY7#e", '" x'), ("password:\t", "x7Kq9vR2mZ4pL8", "\n"),
+    ('password := "', "x7Kq9vR2mZ4pL8", '"'), ("token:\n  ", "x7Kq9vR2mZ4pL8", "\n"), ("token:\r\n\t", "x7Kq9vR2mZ4pL8", " x"), ("run --password ", "x7Kq9vR2mZ4pL8", " -v"),
+    ("<password>", "x7Kq 9vR2mZ4pL8", "</password>"), ("api-key: ", "x7Kq9vR2mZ4pL8", ", x"), ("api key: ", "x7Kq9vR2mZ4pL8", " x"), ("secret=", "пароль9#Q!x2Lm8Zt", " x"),
+    ("access key => '", "x7Kq9vR2mZ4pL8", "'"),
+])
+def test_values_in_every_context_are_whole(before, value, after):
+    text = before + value + after
+    assert [text[s:e] for s, e, k in secrets.guessed_spans(text) if k == "guess"] == [value]
+    assert secrets.redacted(text) == before + "[SECRET]" + after
+
+
+def whole_cost(value):
+    """The least cost over all segmentations of a long value: a table by place and number of spans, with no shortcut but the counted repeats."""
+    import math
+
+    import numpy as np
+
+    value = re.sub(r"(.{1,8}?)\1{32,}", lambda m: m[1] * 32, value)
+    n, each = len(value), secrets._letters(value)
+    best, brute = np.full((n + 1, n + 2), np.inf), np.full((n + 1, n + 2), np.inf)
+    best[0, 0] = 0
+    into = defaultdict(list)
+    for i in range(n):
+        for j, cost in secrets.spans_from(value, i, None):
+            into[j].append((i, cost))
+    for j in range(1, n + 1):
+        brute[j, 1:] = np.minimum(brute[j - 1, 1:], best[j - 1, :-1]) + each
+        best[j] = brute[j]
+        for i, cost in into[j]:
+            np.minimum(best[j, 1:], best[i, :-1] + cost, out=best[j, 1:])
+    return min(best[n, k] + math.lgamma(k + 1) / math.log(10) for k in range(n + 1))
+
+
+@pytest.mark.parametrize("n", [255, 256, 257, 300, 1000])
+def test_guess_cost_of_long_values_is_the_minimum(n):
+    rnd = random.Random(n)
+    parts = [*secrets.COMMON_WORDS[:20], "qwerty", "20240131", "aaaa", "abcdef", "xyxyxy", "K9#", "Zt", "7"]
+    value = ""
+    while len(value) < n:
+        value += rnd.choice(parts)
+    assert secrets.guess_cost(value[:n], None) == pytest.approx(whole_cost(value[:n]), abs=1e-6)
+    assert not secrets._takes(value[:n], secrets.guess_cost(value[:n]) + 1e-6) and secrets._takes(value[:n], 12.0)
+
+
+def test_longer_repeats_do_not_cost_less():
+    costs = [secrets.guess_cost("xq" * k) for k in (4, 32, 33, 127, 128, 129, 500, 5000)]
+    assert costs == sorted(costs) and costs[-1] == costs[1]
