@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -28,10 +28,10 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tessella.llm.language import parts_of
 
-LEAF = 8  # bytes that are merged directly
+LEAF = 6  # bytes that are merged directly
 SHORT = 48  # bytes of a window up to which a plain scan finds the next pair faster than a heap
-KEPT = 1 << 17  # encodings of matches that a task keeps, each of a match of at most ``KEPT_CHARS``
-KEPT_CHARS = 64
+KEPT = 1 << 18  # encodings of windows and of matches that a task keeps twice over, each of at most ``KEPT_SIZE`` bytes or characters
+KEPT_SIZE = 32
 NEVER = 1 << 60
 
 
@@ -46,6 +46,26 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
 
 
+class Kept(dict):
+    """Results by key, made where missing. The last ``KEPT`` at least are held: once there are as many, they become the old ones, and those asked for
+    again are new once more. Large keys are not held."""
+
+    def __init__(self, make: Callable):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= KEPT_SIZE:
+            if len(self) >= KEPT:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class TreeBPE:
     """Encodes and decodes by a table of ranks that has all single bytes."""
 
@@ -55,7 +75,7 @@ class TreeBPE:
 
         self.ranks, self.split = ranks, regex.compile(pattern or public_tokenizers.PATTERN).findall
         self.token = {rank: token for token, rank in ranks.items()}
-        self.kept: dict[str, list[int]] = {}
+        self.windows, self.matches = Kept(self.merged), Kept(self.match_ids)
 
     def merged(self, data: bytes) -> list[bytes]:
         """The tokens of a window: single bytes, of which the pair of least rank is merged until none has a rank."""
@@ -99,10 +119,13 @@ class TreeBPE:
         """The encoding of both sides' bytes together."""
         if not left or not right:
             return left + right
-        before, after = 1, 1
+        window = self.windows[left[-1] + right[0]]
+        if window[0] == left[-1] and window[-1] == right[0]:
+            return left + right
+        before, after = 2, 2
         while True:
             before, after = min(before, len(left)), min(after, len(right))
-            window = self.merged(b"".join(left[-before:]) + b"".join(right[:after]))
+            window = self.windows[b"".join(left[-before:]) + b"".join(right[:after])]
             stays_left = before == len(left) or window[0] == left[-before]
             stays_right = after == len(right) or window[-1] == right[after - 1]
             if stays_left and stays_right:
@@ -112,25 +135,18 @@ class TreeBPE:
     def tokens(self, data: bytes) -> list[bytes]:
         """The encoding of bytes without any split: halves, joined."""
         if len(data) <= LEAF:
-            return self.merged(data)
+            return self.windows[data]
         half = len(data) // 2
         return self.join(self.tokens(data[:half]), self.tokens(data[half:]))
 
     def match_ids(self, match: str) -> list[int]:
         """The ids of one match of the pattern; a match that is a token as it stands is that token."""
-        found = self.kept.get(match)
-        if found is None:
-            data = match.encode()
-            whole = self.ranks.get(data)
-            found = [whole] if whole is not None else [self.ranks[t] for t in self.tokens(data)]
-            if len(match) <= KEPT_CHARS:
-                if len(self.kept) >= KEPT:
-                    self.kept.clear()
-                self.kept[match] = found
-        return found
+        data = match.encode()
+        whole = self.ranks.get(data)
+        return [whole] if whole is not None else [self.ranks[t] for t in self.tokens(data)]
 
     def encode(self, text: str) -> np.ndarray:
-        return np.fromiter(chain.from_iterable(map(self.match_ids, self.split(text))), np.int32)
+        return np.fromiter(chain.from_iterable(map(self.matches.__getitem__, self.split(text))), np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
         """The bytes of ids: halves, concatenated."""
