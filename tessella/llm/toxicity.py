@@ -5,9 +5,10 @@ sigmoid(w.x - theta_k) with theta_1 < theta_2 < ... Expected severity is the sum
 of a text are its words and their beginnings of four to seven letters, so forms of a known word tell as well.
 
 Trained with numpy on the driver from at most ``max_train`` labelled rows (a bounded, hashed sample). Features are counted
-by class on Spark; those that do not tell the classes apart (by a two-proportion z-score) are left out, so chance words of
+by class on Spark; those that do not tell the classes apart (by a two-proportion z-score, either way) are left out, so chance words of
 long documents carry no weight, and all others are kept, in sparse rows. Where a label has only two values, the grades of its
-positive rows follow an out-of-fold score: how toxic a model says they are that has not seen them.
+positive rows follow an out-of-fold score: how sure a model is of them that has not seen them. Severity then means that certainty, cut in
+grades; with a label of more grades it would be theirs.
 """
 
 from __future__ import annotations
@@ -80,22 +81,23 @@ class Rows:
         return Rows(at[self.row[mine]], self.column[mine], self.value[mine], (int(kept.sum()), self.shape[1]))
 
 
-def strength(n: np.ndarray) -> np.ndarray:
-    """How much ``n`` occurrences of a feature count: their number, as one alone is often chance; beyond 50 nothing is added."""
-    return np.minimum(n, 50).astype(np.float64)
+def strength(n: np.ndarray, most: int = 50) -> np.ndarray:
+    """How much ``n`` occurrences of a feature count: their number, as one alone is often chance; beyond ``most`` nothing is added."""
+    return np.minimum(n, most).astype(np.float64)
 
 
 @dataclass
 class SeverityModel:
     weight: dict[int, float]  # by bucket
     thresholds: np.ndarray
+    most: int = 50  # occurrences of a feature in a text that count
 
     def at_least(self, buckets: list[int]) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ...; a feature counts by ``strength``. Other buckets than the model's must not come."""
         total = 0.0
         if buckets:
             which, n = np.unique(buckets, return_counts=True)
-            total = float(np.array([self.weight[b] for b in which.tolist()]) @ strength(n))
+            total = float(np.array([self.weight[b] for b in which.tolist()]) @ strength(n, self.most))
         return 1 / (1 + np.exp(-np.clip(total - self.thresholds, -30, 30)))
 
 
@@ -111,11 +113,15 @@ def loss_and_slopes(x: Rows, grade: np.ndarray, weight: np.ndarray, theta: np.nd
     return float(-np.log(mass).mean() + decay / 2 * weight @ weight), x.back(lower - upper) + decay * weight, by_theta[1:-1]
 
 
+def first_thresholds(grade: np.ndarray) -> np.ndarray:
+    """Thresholds that give each grade its share where nothing else is known."""
+    share = np.array([(grade >= j).mean() for j in range(1, int(grade.max(initial=1)) + 1)]).clip(1e-3, 1 - 1e-3)
+    return np.log((1 - share) / share)
+
+
 def fit_thresholds(x: Rows, grade: np.ndarray, rounds: int = 500, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link model by Adam. Thresholds are the first one and the logs of the further steps."""
-    k = int(grade.max(initial=1))
-    share = np.array([(grade >= j).mean() for j in range(1, k + 1)]).clip(1e-3, 1 - 1e-3)
-    first = np.log((1 - share) / share)
+    first = first_thresholds(grade)
     params = [np.zeros(x.shape[1]), first[:1].copy(), np.log(np.diff(first).clip(0.2))]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
@@ -155,12 +161,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-                         max_train: int = 20_000, grades: int = GRADES, least_z: float = 5.0) -> SeverityModel:
+                         max_train: int = 20_000, grades: int = GRADES, least_z: float = 5.0, most: int = 50) -> SeverityModel:
     """Fit on a 0/1 label of at most ``max_train`` rows.
 
-    A null text has no features; null labels and ids teach nothing; of repeated ids one row counts. Every feature that passes
-    ``least_z``, in five rows or more and less than half of all, is kept. Without rows of both labels, as with empty tables, the
-    model knows no feature and finds nothing toxic.
+    A null text has no features; null labels and ids teach nothing; of repeated ids one row counts. Every feature that tells the labels
+    apart by ``least_z`` or more, for either of them, and that five rows or more but not all have, is kept. Without such a feature every text has
+    the labels' shares as its score. Without rows of both labels, as with empty tables, the model knows no feature and finds nothing toxic.
     """
     sample = labelled_sample(docs, labels, label, id_col, text_col, max_train)
     none = SeverityModel({}, np.full(grades - 1, 5.0))
@@ -169,9 +175,9 @@ def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic
         return none
     counts = sample.select("text", "label").mapInArrow(_counted, "bucket int, having long, with_1 long").groupBy("bucket").agg(F.sum("having").alias("n"), F.sum("with_1").alias("k"))
     z = (F.col("k") / F.col("n") - ones / total) / F.sqrt(F.lit(ones / total * (1 - ones / total)) / F.col("n"))
-    chosen = sorted(r[0] for r in counts.where((z >= least_z) & (F.col("n") >= 5) & (F.col("n") < total / 2)).select("bucket").collect())  # at most BUCKETS numbers
+    chosen = sorted(r[0] for r in counts.where((F.abs(z) >= least_z) & (F.col("n") >= 5) & (F.col("n") < total)).select("bucket").collect())  # at most BUCKETS numbers
     if not chosen:
-        return none
+        return SeverityModel({}, np.repeat(first_thresholds(np.repeat([0, 1], [total - ones, ones])), grades - 1) + np.arange(grades - 1) * np.log(2), most)
     wanted = sample.sparkSession.sparkContext.broadcast(set(chosen))
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,10 +191,10 @@ def train_severity_model(docs: DataFrame, labels: DataFrame, label: str = "toxic
     lists = table.column("bucket").combine_chunks()
     row = np.repeat(np.arange(positive.size), np.diff(lists.offsets.to_numpy()))
     column, n = np.searchsorted(chosen, lists.flatten().to_numpy()), table.column("n").combine_chunks().flatten().to_numpy()
-    x = Rows(row, column, strength(n), (positive.size, len(chosen)))
+    x = Rows(row, column, strength(n, most), (positive.size, len(chosen)))
     fold = np.array([crc32(i.encode()) % FOLDS for i in table.column("id").to_pylist()])
     weight, thresholds = fit_thresholds(x, graded(x, positive, fold, grades))
-    return SeverityModel(dict(zip(chosen, weight.tolist())), thresholds)
+    return SeverityModel(dict(zip(chosen, weight.tolist())), thresholds, most)
 
 
 def score_severity(docs: DataFrame, model: SeverityModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.2) -> DataFrame:

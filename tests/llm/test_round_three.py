@@ -13,7 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import divergence, language, queries, repair, secrets, tree_bpe
+from tessella.llm import divergence, language, queries, repair, secrets, toxicity, tree_bpe
 
 SF = "/root/testdata/sf0.01"
 
@@ -337,3 +337,18 @@ def test_guess_cost_of_long_values_is_the_minimum(n):
 def test_longer_repeats_do_not_cost_less():
     costs = [secrets.guess_cost("xq" * k) for k in (4, 32, 33, 127, 128, 129, 500, 5000)]
     assert costs == sorted(costs) and costs[-1] == costs[1]
+
+
+# Toxic features of either side
+
+
+@pytest.mark.parametrize("toxic", [50, 75])
+def test_frequent_features_of_either_label_tell(spark, toxic):
+    docs = spark.range(400).selectExpr("id as doc_id", f"if(id % 100 < {toxic}, 'other stuff here', 'calm gentle note') as text")
+    labels = spark.range(400).selectExpr("id as doc_id", f"cast(id % 100 < {toxic} as int) as toxic")
+    got = {r.doc_id: r for r in toxicity.score_severity(docs, toxicity.train_severity_model(docs, labels)).collect()}
+    assert all(r.toxic == (k % 100 < toxic) for k, r in got.items())
+    same = docs.selectExpr("doc_id", "'the same' as text")
+    model = toxicity.train_severity_model(same, labels)
+    scores = {round(r.score, 6) for r in toxicity.score_severity(same, model).collect()}
+    assert scores == {toxic / 100} and list(model.thresholds) == sorted(model.thresholds)
