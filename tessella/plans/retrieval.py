@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessella.operators import bm25, fulltext
-from tessella.plans.catalogue import query
+from tessella.operators import bm25, cells, fulltext, search
+from tessella.plans.catalogue import _DENSE, query
 from tessella.sources.readers import scratch_folder, table, until_exit
 
 #: Requests of words, phrases, ``or`` and ``-``, in words that documents have.
@@ -44,3 +44,35 @@ def bm25_topk(spark, d):
     path = scratch_folder(spark, "bm25")
     bm25.build(table(spark, d, "documents"), "doc_id", "text", path)
     return bm25.topk(spark.read.parquet(until_exit(spark, path)), table(spark, d, "benchmark"), 10, "item_id", "text")[0]
+
+
+def _cells(spark, d):
+    rows = table(spark, d, "embeddings")
+    centroids = cells.train(rows, "embedding")
+    path = scratch_folder(spark, "cells")
+    cells.build(rows, centroids, "embedding", path)
+    return spark.read.parquet(until_exit(spark, path)), rows.where("vec_id % 100 = 0"), centroids
+
+
+@query(f"WITH {_DENSE} SELECT query_id, id, round(distance, 4) AS distance, rank FROM ranked WHERE rank <= 10")
+def vector_cells_exact(spark, d):
+    """The nearest vectors by the index of cells, those cells left out that cannot hold one."""
+    return cells.nearest(*_cells(spark, d), 10, exact=True)[0].withColumn("distance", F.round("distance", 4))
+
+
+@query(f"WITH {_DENSE}, f AS (SELECT query_id, id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS rank FROM dense JOIN embeddings ON vec_id = id WHERE label = 3) SELECT query_id, id, round(distance, 4) AS distance, rank FROM f WHERE rank <= 10")
+def vector_cells_filtered(spark, d):
+    """The same among the rows of one label: as many as asked for, as the filter holds inside the cells."""
+    indexed, asked, centroids = _cells(spark, d)
+    return cells.nearest(indexed.where("label = 3"), asked, centroids, 10, exact=True)[0].withColumn("distance", F.round("distance", 4))
+
+
+@query("SELECT count(*) AS n_queries, true AS recall_reached, true AS cells_spared FROM embeddings WHERE vec_id % 100 = 0")
+def vector_cells_recall(spark, d):
+    """The quick search against all vectors: whether nine tenths of the true ten nearest are found, and cells are left unread."""
+    indexed, asked, centroids = _cells(spark, d)
+    found, read = cells.nearest(indexed, asked, centroids, 10, probes=cells.probes_for(indexed, centroids, 10))
+    true = search.dense_topk(table(spark, d, "embeddings"), asked, 10).select("query_id", "id")
+    hits = true.join(found.select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    spared = read.agg((F.max("cells_read") < len(centroids)).alias("cells_spared"))
+    return hits.agg(F.countDistinct("query_id").alias("n_queries"), (F.sum("hit") >= 0.9 * F.count("*")).alias("recall_reached")).crossJoin(spared)  # a row each
