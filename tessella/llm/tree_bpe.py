@@ -136,7 +136,7 @@ class TreeBPE:
     def join(self, left: Tokens, right: Tokens) -> Tokens:
         """The encoding of both sides' bytes together."""
         if not left or not right:
-            return left + right
+            return (*left, *right)
         window = self.windows[left[-1] + right[0]]
         if window[0] == left[-1] and window[-1] == right[0]:
             return left + right
