@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.text import all_words, norm_contains
-from tessella.operators import filters, search
+from tessella.operators import filters, fulltext, search
 from tessella.plans.requests import Tool
 
 SIZES = ("displacement_ccm", "weight_kg", "power_hp", "torque_nm", "seat_height_mm")
@@ -63,7 +63,7 @@ def filter_specs(c: Catalogue, brand: str | None = None, category: str | None =
 
 
 def search_reviews(c: Catalogue, query: str, brand: str | None = None, model: str | None = None, category: str | None = None, limit: int | None = None) -> DataFrame:
-    """Comments near the query: the nearest vectors and the keyword matches, fused by rank and, if there is a reranker and more than
+    """Comments near the query: the nearest vectors and the densest matches of its stemmed words and phrases, fused by rank and, if there is a reranker and more than
     ``limit`` are found, reranked. The filters go by family: its brand, the words and the category of any of its products."""
     limit = int(limit or SEARCH_LIMIT)
     fetch = search.fetch_size(limit, c.rerank is not None)
@@ -78,7 +78,7 @@ def search_reviews(c: Catalogue, query: str, brand: str | None = None, model: st
     rows = c.comments.join(families, "family_id") if not (brand or model or category) else c.comments.join(families.select("family_id"), "family_id", "left_semi").join(families, "family_id")
     asked = c.comments.sparkSession.range(1).select(F.col("id"), c.embed(F.lit(query)).alias("embedding"))
     dense = search.dense_topk(rows, asked, fetch, "id", "embedding").drop("query_id")
-    sparse = search.sparse_topk(rows, query.lower().split(), fetch, "id", "comment_text").select("id", "rank")
+    sparse = fulltext.search_texts(rows, query, fetch, "id", "comment_text").select("id", "rank")
     order = search.fused_order()
     pool = search.rrf(dense, sparse, ["id"]).orderBy(*order).limit(fetch)
     found = rows.drop("embedding", "family_id").join(F.broadcast(pool), "id")  # at most 50 rows

@@ -18,7 +18,7 @@ from tessella.plans.catalogue import PART_COLUMNS, PARTS, query
 from tessella.plans.requests import Tool, run_tool
 from tessella.sources import extract, readers
 from tessella.sources.readers import scratch_folder, table, until_exit
-from tessella.streaming import ingest
+from tessella.streaming import buckets, ingest
 
 # Files
 
@@ -131,6 +131,26 @@ def stream_merged(spark, d):
     return ingest.current(spark, f"{path}/table").select("user_id", "value", "event_id")
 
 
+@query("SELECT user_id, max(value) AS value, max(event_id) AS event_id FROM events GROUP BY user_id")
+def stream_touched(spark, d):
+    """The same stream into a table of buckets, of which a batch rewrites those of its keys; the last batch runs twice."""
+    events, path = table(spark, d, "events").select("user_id", "value", "event_id"), scratch_folder(spark, "buckets")
+    events.repartition(3, "event_id").write.json(f"{path}/in")
+
+    def merged(old, new):
+        new = new.groupBy("user_id").agg(F.max("value").alias("value"), F.max("event_id").alias("event_id"))
+        return new if old is None else merge.upsert(old, new, ["user_id"], {"value": "greatest", "event_id": "greatest"})
+
+    def twice(rows, number):
+        for _ in range(2):
+            buckets.merge_batch(rows, number, f"{path}/table", ["user_id"], merged, 16)
+
+    source = ingest.json_stream(spark, f"{path}/in", "user_id long, value double, event_id long", 1)
+    source.writeStream.foreachBatch(twice).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    until_exit(spark, path)
+    return buckets.current(spark, f"{path}/table").select("user_id", "value", "event_id")
+
+
 # Pages
 
 _YEAR = "1950 + p_size"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import merge
 from tessella.sources import extract, readers
-from tessella.streaming import ingest
+from tessella.streaming import buckets, ingest
 
 THREAD = """<p>forum</p><table class="menu"><tr><td>a form</td></tr></table><table id="t" class="wide Grid">
 <tr><td>Chain noise when cold</td></tr>
@@ -134,3 +134,40 @@ def test_a_batch_that_runs_twice_starts_from_the_same_rows(spark, tmp_path, kind
             assert sorted(map(tuple, ingest.current(spark, path).collect())) == want[number]
     assert {p.name.split("-")[0] for p in (tmp_path / "table").iterdir()} == {"v2", "v3"}  # older versions went
     assert sorted(map(tuple, ingest.current(spark, path, 3).collect())) == want[2] and ingest.current(spark, path, 2) is None
+
+
+def test_a_batch_rewrites_the_buckets_it_touches(spark, tmp_path):
+    path = f"{tmp_path}/table"
+
+    def merged(old, new):
+        return new if old is None else merge.upsert(old, new, ["k"], {"v": "greatest", "t": "new"})
+
+    whole = spark.range(20_000).selectExpr("id as k", "id % 7 as v", "sha2(string(id), 256) as t")
+    first = buckets.merge_batch(whole, 0, path, ["k"], merged, 64)
+    small = spark.createDataFrame([(3, 100, "x"), (50_000, 1, "y"), (None, 5, "z")], "k long, v long, t string")
+    told = [buckets.merge_batch(small, 1, path, ["k"], merged) for _ in range(3)]
+    assert first["buckets"] == 64 and all(t["buckets"] <= 3 and 0 < t["bytes"] < first["bytes"] / 10 for t in told)
+    rows = {r.k: (r.v, r.t) for r in buckets.current(spark, path).collect()}
+    assert len(rows) == 20_002 and rows[3] == (100, "x") and rows[50_000] == (1, "y") and rows[None] == (5, "z")
+    assert buckets.current(spark, path, 1).count() == 20_000 and buckets.current(spark, path, 0) is None
+    assert len(list((tmp_path / "table/manifests").glob("m*.json"))) == 2 and len(list((tmp_path / "table/data").iterdir())) == 2
+    assert buckets.merge_batch(small.limit(0), 2, path, ["k"], merged) == {"buckets": 0, "bytes": 0}
+    assert buckets.current(spark, path).count() == 20_002
+
+
+def test_a_batch_without_its_manifest_never_was(spark, tmp_path, monkeypatch):
+    path = f"{tmp_path}/table"
+    union = lambda old, new: new if old is None else old.withColumn("v", F.col("v") + 1).unionByName(new)
+    one = spark.createDataFrame([(1, 0)], "k int, v int")
+    buckets.merge_batch(one, 0, path, ["k"], union, 4)
+    with monkeypatch.context() as lost:
+        lost.setattr(buckets, "_publish", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            buckets.merge_batch(one, 1, path, ["k"], union)
+    assert [tuple(r) for r in buckets.current(spark, path).collect()] == [(1, 0)]
+    buckets.merge_batch(one, 1, path, ["k"], union)
+    assert sorted(map(tuple, buckets.current(spark, path).collect())) == [(1, 0), (1, 1)]
+    assert len(list((tmp_path / "table/data").iterdir())) == 2  # what the lost run wrote is gone
+    none = spark.createDataFrame([], "k int, v int")
+    buckets.merge_batch(none, 0, f"{tmp_path}/empty", ["k"], union)
+    assert buckets.current(spark, f"{tmp_path}/empty").count() == 0
