@@ -27,6 +27,7 @@ from tessella.llm.store import stored
 CAPACITY = 2048
 END_ID = 1
 _BUCKET_ROWS = 256
+_GROUP_BUCKETS = 4096
 
 
 class _Recent(dict):
@@ -156,23 +157,29 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
 
     A sequence's pieces lie one after another from offset 0; it is padded to ``capacity`` unless its length is a power of
     two. Null and empty texts are one piece, the closing id. Repeated rows are packed once each. Only the id and the text are
-    read; an empty table gives an empty one.
+    read; an empty table gives an empty one. Runs jobs at once: pieces are written to scratch and counted.
+
+    A piece that fills a sequence needs no rank and stays where it is. The ranks of all others are counted in three steps: rows inside a bucket, buckets
+    inside a group, groups inside a class; so the longest window of a class has one row for some ``_BUCKET_ROWS * _GROUP_BUCKETS`` of its pieces.
     """
     spark = docs.sparkSession
     pieces = cut_documents(docs, id_col, text_col, capacity, end_id, tokenizer)
     pieces = pieces.withColumn("class", F.ceil(F.col("length") / F.lit(grain)).cast("int"))
     pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")  # fixed once written
-    histogram = pieces.groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()
+    widest = -(-capacity // grain)
+    histogram = pieces.where(F.col("class") < widest).groupBy("class").agg(F.count("*").alias("n")).orderBy("class").collect()
     total = sum(r.n for r in histogram)
     classes = np.array([r["class"] for r in histogram], np.int64)
-    patterns = solve(classes, np.array([r.n for r in histogram], np.int64), -(-capacity // grain)) if total else []
+    patterns = solve(classes, np.array([r.n for r in histogram], np.int64), widest) if total else []
     table = spark.createDataFrame(_pattern_rows(patterns, classes), "class int, first long, end long, per int, sequence long")
 
     buckets = spark.createDataFrame([(r["class"], r.n // _BUCKET_ROWS + 1) for r in histogram], "class int, buckets long")  # a row a class
-    placed = pieces.join(F.broadcast(buckets), "class").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets"))
-    before = placed.groupBy("class", "bucket").agg(F.count("*").alias("n"))
-    up_to = Window.partitionBy("class").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("class", "bucket", F.coalesce(F.sum("n").over(up_to), F.lit(0)).alias("before"))
+    placed = pieces.where(F.col("class") < widest).join(F.broadcast(buckets), "class").withColumn("bucket", F.pmod(F.xxhash64("row"), "buckets"))
+    counts = placed.groupBy("class", "bucket").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("bucket") / _GROUP_BUCKETS))
+    earlier = lambda by, place: F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = counts.groupBy("class", "group").agg(F.sum("n").alias("n")).select("class", "group", earlier(["class"], "group").alias("groups_before"))
+    before = counts.select("class", "bucket", "group", earlier(["class", "group"], "bucket").alias("before")).join(groups, ["class", "group"])
+    before = before.select("class", "bucket", (F.col("before") + F.col("groups_before")).alias("before"))
     inside = Window.partitionBy("class", "bucket").orderBy("row")
     ranked = placed.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["class", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
     fits = (ranked["class"] == table["class"]) & (ranked["rank"] >= table["first"]) & (ranked["rank"] < table["end"])
@@ -183,6 +190,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     filled = F.sum("length").over(whole)
     power = F.col("filled").bitwiseAND(F.col("filled") - 1) == 0
     out = handed.withColumns({"offset": F.coalesce(F.sum("length").over(along), F.lit(0)), "filled": filled})
+    names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "filled"]
+    alone = pieces.where(F.col("class") == widest).withColumns({"sequence_id": F.col("row") + sum(times for _, times in patterns), "offset": F.lit(0).cast("long"), "filled": F.col("length")})
+    out = alone.select(*names).unionByName(out.select(*names))
     return out.select(
         F.col("id").alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", F.when(power, 0).otherwise(capacity - F.col("filled")).alias("padding")
     )
