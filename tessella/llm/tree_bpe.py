@@ -206,7 +206,9 @@ def decode_ids(encoded: DataFrame, ids_col: str = "ids", ranks: str | None = Non
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                data = [None if x is None else bpe.decode(x) for x in batch.column(at).to_pylist()]
+                lists = batch.column(at)
+                ids, edges = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                data = [bpe.decode(ids[a:b].tolist()) if there else None for a, b, there in zip(edges, edges[1:], lists.is_valid().to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(data, pa.binary())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(decoded, schema)
