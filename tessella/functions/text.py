@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: The first and the last year that is plausible.
+YEARS = (1850, 2029)
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -92,9 +94,19 @@ def starts_with_any(c: Column, prefixes: tuple[str, ...]) -> Column:
     return out
 
 
+def plain_words(c: Column) -> Column:
+    """Runs of letters, digits and underscores."""
+    return F.split(c, r"[^\p{L}\p{N}_]+")
+
+
+def is_year(word: Column) -> Column:
+    """Whether a word is a plausible year: four digits, compared as a number."""
+    return F.coalesce((F.length(word) == 4) & F.translate(word, "0123456789", "").eqNullSafe("") & word.try_cast("int").between(*YEARS), F.lit(False))
+
+
 def year_in(c: Column) -> Column:
     """The first plausible year that stands as a word of its own, or null."""
-    return F.nullif(F.regexp_extract(c, r"\b(18[5-9]\d|19\d\d|20[0-2]\d)\b", 1), F.lit("")).try_cast("int")
+    return F.get(F.filter(plain_words(c), is_year), F.lit(0)).try_cast("int")
 
 
 def newest_first(low: Column, high: Column) -> Column:

@@ -6,7 +6,6 @@ import base64
 import codecs
 import html as entities
 import json
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import digits, norm, without_suffix
+from tessella.functions.text import YEARS, digits, is_year, norm, plain_words, without_suffix
 
 
 def title(html: Column) -> Column:
@@ -328,19 +327,55 @@ def extract_specs(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     return rows.mapInArrow(parse, f"key {rows.schema['key'].dataType.simpleString()}, raw_specs map<string,string>").withColumnRenamed("key", key)
 
 
-# Words that begin a line of a sheet, not a name; the least and greatest length of a name in an answer; how far behind it its year may stand.
+# Words that begin a line of a sheet, not a name; the least and greatest length of a name in an answer and of a sheet's label; how far behind
+# a name its year may stand; what marks a list item.
 SHEET_WORDS = ("displacement", "weight", "power", "torque", "seat", "fuel", "price", "prix", "cylindr", "poids", "puissance", "hauteur", "couple")
-NAME_LENGTH, YEAR_WITHIN = (3, 80), 20
-_MARK = re.compile(r"\s*(?:\d+\.|[-•])\s+")
-_LABEL = re.compile(r"[\w é]{3,25}:")
-_YEAR = re.compile(r"\b(?:18[5-9]\d|19\d\d|20[0-2]\d)\b")
+NAME_LENGTH, LABEL_LENGTH, YEAR_WITHIN = (3, 80), (3, 25), 20
+BULLETS = "-•"
+
+
+def _word_end(text: str, at: int = 0) -> int:
+    """Where the run of letters, digits and underscores that begins at ``at`` ends."""
+    while at < len(text) and (text[at].isalnum() or text[at] == "_"):
+        at += 1
+    return at
+
+
+def year_of(text: str) -> int | None:
+    """The first word of a text that is a plausible year."""
+    at = 0
+    while at < len(text):
+        end = _word_end(text, at)
+        word = text[at:end]
+        if len(word) == 4 and word.isascii() and word.isdigit() and YEARS[0] <= int(word) <= YEARS[1]:
+            return int(word)
+        at = max(end, at + 1)
+    return None
+
+
+def _item_at(line: str) -> int:
+    """Where the text of a list item begins, 0 if the line is none: it is marked by a bullet, or a number and a dot, and a blank."""
+    at = len(line) - len(line.lstrip())
+    end = at
+    while end < len(line) and line[end].isdecimal():
+        end += 1
+    marked = line[at : at + 1] in BULLETS and at < len(line) if end == at else line[end : end + 1] == "."
+    rest = line[end + 1 :]
+    return len(line) - len(rest.lstrip()) if marked and rest[:1].isspace() else 0
+
+
+def _of_a_sheet(text: str) -> bool:
+    """A line that tells a value: one of the sheet's words first, or a short label of plain words and a colon."""
+    bare = text.lstrip(BULLETS + " \t").lower()
+    label, colon, _ = bare.partition(":")
+    plain = all(c.isalnum() or c in "_ " for c in label)
+    return bare[: _word_end(bare)] in SHEET_WORDS or bool(colon) and plain and LABEL_LENGTH[0] <= len(label) <= LABEL_LENGTH[1]
 
 
 def _named_parts(line: str) -> Iterator[tuple[str, int]]:
     """(text, where it ends) of what a line of an answer may name: a list item up to a bracket, and spans between double stars."""
-    mark = _MARK.match(line)
-    at = mark.end() if mark else 0
-    if mark:
+    at = _item_at(line)
+    if at:
         text = line[at:].split("(")[0][: NAME_LENGTH[1]]
         at += len(text)
         yield text, at
@@ -364,12 +399,10 @@ def mentions_of(answer: str) -> list[tuple[str, int | None]]:
     for line in lines:
         for text, end in _named_parts(line):
             name = text.strip().rstrip(":,.")
-            bare = name.lstrip("-• \t").lower()
-            sheet = any(re.match(rf"{w}\b", bare) for w in SHEET_WORDS) or _LABEL.match(bare)
-            if not NAME_LENGTH[0] <= len(text) <= NAME_LENGTH[1] or not name or sheet or not (any(c.isdigit() for c in name) or len(name.split()) > 1):
+            if not NAME_LENGTH[0] <= len(text) <= NAME_LENGTH[1] or not name or _of_a_sheet(name) or not (any(c.isdigit() for c in name) or len(name.split()) > 1):
                 continue
-            year = _YEAR.search(name) or _YEAR.search(answer[begin + end : begin + end + YEAR_WITHIN])
-            out.setdefault("".join(c for c in name.lower() if c.isascii() and c.isalnum()), (name, int(year[0]) if year else None))
+            year = year_of(name) or year_of(answer[begin + end : begin + end + YEAR_WITHIN])
+            out.setdefault("".join(c for c in name.lower() if c.isascii() and c.isalnum()), (name, year))
         begin += len(line) + 1
     return list(out.values())
 
@@ -390,15 +423,15 @@ def extract_mentions(answers: DataFrame, key: str, text: str = "text") -> DataFr
 
 def mention_key(mention: Column) -> Column:
     """What a mention is matched by: letters and digits without its years; null if fewer than four are left."""
-    bare = norm(F.regexp_replace(mention, r"\b(18[5-9]\d|19\d\d|20[0-2]\d)\b", ""))
+    bare = norm(F.array_join(F.filter(plain_words(mention), lambda w: ~is_year(w)), ""))
     return F.when(F.length(bare) >= 4, bare)
 
 
 def unescaped(text: Column) -> Column:
-    """HTML entities as characters, a batch of rows at a time."""
+    """HTML entities as characters, a batch of rows at a time; a text without an ampersand stays in generated code."""
 
     @F.pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: t if t is None else entities.unescape(t))
 
-    return decode(text)
+    return F.when(F.contains(text, F.lit("&")), decode(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
