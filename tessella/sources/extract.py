@@ -428,10 +428,10 @@ def mention_key(mention: Column) -> Column:
 
 
 def unescaped(text: Column) -> Column:
-    """HTML entities as characters, a batch of rows at a time; a text without an ampersand stays in generated code."""
+    """HTML entities as characters, a batch of rows at a time."""
 
     @F.pandas_udf("string")
     def decode(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: t if t is None else entities.unescape(t))
+        return texts.map(lambda t: entities.unescape(t) if t is not None and "&" in t else t)
 
-    return F.when(F.contains(text, F.lit("&")), decode(F.when(F.contains(text, F.lit("&")), text))).otherwise(text)
+    return decode(text)
