@@ -67,6 +67,46 @@ def half_up(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
+def round_exact(c: Column, digits: int) -> Column:
+    """To ``digits`` decimals (9 at most) by the exact binary value, ties to the even digit, as Python's ``round``; of values under 8, others are null.
+
+    The value is taken apart into whole 2**-60ths, whole 2**-113ths of the rest, and whether anything is left; these are compared with the tie
+    as whole numbers.
+    """
+    let = lambda value, use: F.get(F.transform(F.array(value), use), F.lit(0))  # noqa: E731  a value that is used again is made once
+    whole_number = lambda x, size: x.cast(f"decimal({size},0)")
+    unit, part, scale = whole_number(F.lit(1 << 60), 19), whole_number(F.lit(1 << 53), 16), whole_number(F.lit(10**digits), 10)
+    digit = whole_number(unit * part, 36)
+
+    def apart(x: Column) -> Column:
+        high = F.abs(x) * float(1 << 60)
+        return F.struct(x.alias("x"), whole_number(whole_number(F.floor(high), 19) * scale, 30).alias("times"), ((high - F.floor(high).cast("double")) * float(1 << 53)).alias("low"))
+
+    def near(v: Column) -> Column:
+        return F.struct(v["x"].alias("x"), v["times"].alias("times"), v["low"].alias("low"), whole_number(F.floor(v["times"] / unit), 20).alias("below"))
+
+    def fit(v: Column) -> Column:  # a quotient has few decimals
+        right = F.when(whole_number(v["below"] * unit, 38) > v["times"], -1).when(whole_number((v["below"] + 1) * unit, 38) <= v["times"], 1).otherwise(0)
+        return F.struct(v["x"].alias("x"), v["times"].alias("times"), v["low"].alias("low"), whole_number(v["below"] + right, 20).alias("below"))
+
+    def left(v: Column) -> Column:  # of a digit, in 2**-113ths
+        rest = whole_number(whole_number(v["times"] - whole_number(v["below"], 12) * unit, 19) * part, 36) + whole_number(F.floor(v["low"]), 16) * scale
+        return F.struct(v["x"].alias("x"), v["below"].alias("below"), whole_number(rest, 38).alias("rest"), (v["low"] > F.floor(v["low"]).cast("double")).alias("more"))
+
+    def carried(v: Column) -> Column:
+        over = v["rest"] >= digit
+        return F.struct(v["x"].alias("x"), whole_number(v["below"] + F.when(over, 1).otherwise(0), 20).alias("below"), whole_number(v["rest"] - F.when(over, digit).otherwise(0), 38).alias("rest"), v["more"].alias("more"))
+
+    def told(v: Column) -> Column:
+        up = (v["rest"] * 2 > digit) | (v["rest"] * 2 == digit) & (v["more"] | (v["below"] % 2 == 1))
+        return F.when(F.abs(v["x"]) < 8, F.signum(v["x"]) * (v["below"] + F.when(up, 1).otherwise(0)).cast("double") / float(10**digits))
+
+    out = let(c, apart)
+    for step in (near, fit, left, carried, told):
+        out = let(out, step)
+    return out
+
+
 def split_first(c: Column) -> tuple[Column, Column]:
     """Before and after the first blank."""
     return F.substring_index(c, " ", 1), F.when(F.instr(c, " ") > 0, F.substr(c, F.instr(c, " ") + 1)).otherwise(F.lit(""))

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.functions.text import round_exact
 from tessella.sources.readers import scratch_folder, until_exit
 
 RRF_K = 60
@@ -103,15 +104,19 @@ def sparse_topk(docs: DataFrame, terms: list[str], k: int, id_col: str, text_col
     return kept.select("id", "score", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "id")).cast("long").alias("rank"))
 
 
-def rrf(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = RRF_K) -> DataFrame:
+def rrf(dense: DataFrame, sparse: DataFrame, keys: list[str], k: int = RRF_K, digits: int | None = None) -> DataFrame:
     """Reciprocal-rank fusion of two ranked lists (``rank`` from 1; the k-th place counts 1 / (k + rank - 1)).
 
-    A row of one list alone keeps a null distance or rank of the other.
+    A row of one list alone keeps a null distance or rank of the other. With ``digits`` the sum is rounded after each addition, the dense part first,
+    by its exact binary value.
     """
     a = dense.select(*keys, F.col("rank").alias("dense_rank"), *[c for c in dense.columns if c not in (*keys, "rank")])
     b = sparse.select(*keys, F.col("rank").alias("sparse_rank"))
     part = lambda c: F.coalesce(1.0 / (F.lit(k) + F.col(c) - 1), F.lit(0.0))
-    return a.join(b, keys, "full_outer").withColumn("rrf", part("dense_rank") + part("sparse_rank"))
+    both = a.join(b, keys, "full_outer")
+    if digits is None:
+        return both.withColumn("rrf", part("dense_rank") + part("sparse_rank"))
+    return both.withColumn("rrf", round_exact(part("dense_rank"), digits)).withColumn("rrf", round_exact(F.col("rrf") + part("sparse_rank"), digits))
 
 
 def fused_order() -> list[Column]:

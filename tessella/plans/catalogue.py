@@ -175,11 +175,11 @@ q AS (SELECT DISTINCT query_id FROM ranked), t AS (SELECT query_id, id, sparse_r
 f AS (SELECT query_id, id, dense_rank, sparse_rank, coalesce(1.0::DOUBLE / (59 + dense_rank), 0) + coalesce(1.0::DOUBLE / (59 + sparse_rank), 0) AS rrf FROM e FULL JOIN t USING (query_id, id))"""
 
 
-def _fused(spark, d):
+def _fused(spark, d, digits=None):
     dense = _dense(spark, d, 50)
     asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
     found = search.sparse_topk(table(spark, d, "documents"), list(TERMS), 50, "doc_id", "text")
-    return search.rrf(dense, asked.join(F.broadcast(found)), ["query_id", "id"])  # 50 rows for each query
+    return search.rrf(dense, asked.join(F.broadcast(found)), ["query_id", "id"], digits=digits)  # 50 rows for each query
 
 
 @query(f"{_FUSED} SELECT query_id, id, dense_rank, sparse_rank, round(rrf, 8) AS rrf FROM f")
@@ -187,6 +187,16 @@ def rrf_fusion(spark, d):
     return _fused(spark, d).select("query_id", "id", "dense_rank", "sparse_rank", F.round("rrf", 8).alias("rrf"))
 
 
+_EXACT = "(SELECT CASE WHEN 2 * r > u OR (2 * r = u AND q % 2 = 1) THEN q + 1 ELSE q END / 100000.0::DOUBLE FROM (SELECT t // u AS q, t % u AS r, u FROM (SELECT CAST(({x}) * 1152921504606846976 AS HUGEINT) * 100000 AS t, 1152921504606846976::HUGEINT AS u)))"
+_FIRST = _EXACT.format(x="coalesce(1.0::DOUBLE / (59 + dense_rank), 0)")
+
+
+@query(f"{_FUSED}, g AS (SELECT *, {_FIRST} AS first FROM f) SELECT query_id, id, dense_rank, sparse_rank, {_EXACT.format(x='first + coalesce(1.0::DOUBLE / (59 + sparse_rank), 0)')} AS rrf FROM g")
+def rrf_rounded(spark, d):
+    """Ranks fused with five digits kept after each addition, halves by the exact binary value."""
+    return _fused(spark, d, 5).select("query_id", "id", "dense_rank", "sparse_rank", "rrf")
+
+
 @query("""WITH w AS (SELECT doc_id, len(list_intersect(list_distinct(regexp_split_to_array(lower(text), '\\s+')), ['the', 'and', 'of', 'with', 'by'])) AS rerank_score, n_chars FROM documents),
 pool AS (SELECT * FROM w ORDER BY n_chars DESC, doc_id LIMIT 50) SELECT doc_id, rerank_score FROM pool ORDER BY rerank_score DESC, doc_id LIMIT 8""")
 def rerank_pool(spark, d):

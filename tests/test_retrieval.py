@@ -160,3 +160,19 @@ def test_requests_of_the_query_show_every_form(spark):
     levels = {r[0]: r[1] for r in found.groupBy("query").agg(F.min("level")).collect()}
     assert set(levels.values()) == {0, 1} and set(retrieval.REQUESTS) - set(levels) == {4}  # stop words alone match nothing
     assert any(re.search('"', r) for r in retrieval.REQUESTS.values()) and len(list(itertools.chain(retrieval.REQUESTS))) == 10
+
+
+def test_rounding_is_that_of_python(spark):
+    from tessella.functions.text import round_exact
+
+    rnd = random.Random(2)
+    pairs = [(a, b) for a in range(51) for b in range(51)]
+    ranks = spark.createDataFrame(pairs, "a int, b int")
+    first = ranks.withColumn("x", round_exact(1.0 / (F.col("a") + 60), 5)).withColumn("y", round_exact(F.col("x") + 1.0 / (F.col("b") + 60), 5))
+    for r in first.collect():
+        x = round(1.0 / (60 + r.a), 5)
+        assert (r.x, r.y) == (x, round(x + 1.0 / (60 + r.b), 5)), (r.a, r.b)
+    values = [rnd.uniform(-8, 8) for _ in range(500)] + [rnd.uniform(-1, 1) * 10 ** -rnd.randrange(3, 30) for _ in range(300)] + [k / 64 for k in range(-512, 512)] + [0.0, 2.5e-5, 5e-6, 1.5e-5, 2.675]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[round_exact(F.col("v"), d).alias(f"r{d}") for d in (0, 2, 5, 9)]).collect()
+    for r in got:
+        assert [r.r0, r.r2, r.r5, r.r9] == ([round(r.v, d) for d in (0, 2, 5, 9)] if abs(r.v) < 8 else [None] * 4), r.v
