@@ -70,7 +70,7 @@ def test_filters_reach_the_scan(spark):
 
 
 #: Joins with a side of one row, or with the fifty rows of a ranked list.
-NESTED = {"dense_negative_control": 1, "rrf_fusion": 1, "hybrid_topk": 1, "integrity_totals": 2, "catalogue_totals": 2, "family_context": 4, "substring_interval_join": 1, "recalls_inserted": 2}
+NESTED = {"dense_negative_control": 1, "rrf_fusion": 1, "rrf_rounded": 1, "hybrid_topk": 1, "integrity_totals": 2, "catalogue_totals": 2, "family_context": 4, "substring_interval_join": 1, "recalls_inserted": 2}
 
 
 def test_no_query_needs_a_cross_product(spark):
