@@ -110,7 +110,7 @@ def fulfilled(clauses: tuple[Clause, ...], found: dict[str, list[int]]) -> bool:
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] | None = None) -> DataFrame:
-    """``term``, ``id``, ``at`` (sorted places from 1) of every stem of every row, or of the ``wanted`` ones; and the term ``ANY_ROW`` of every row.
+    """``term``, ``id``, ``at`` (sorted places from 1) of every stem of every row and the term ``ANY_ROW`` of every row, or of those terms that are ``wanted``.
 
     A null text has no words. Texts are read whole. Ids are unique: of repeated ids each row is told, as if one row held the texts of
     all side by side. Stays where the rows are: no shuffle.
@@ -133,7 +133,8 @@ def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] |
                             found.setdefault(stem(word), []).append(place)
                     if wanted is not None:
                         found = {t: p for t, p in found.items() if t in wanted}
-                    found[ANY_ROW] = [place]
+                    if wanted is None or ANY_ROW in wanted:
+                        found[ANY_ROW] = [place]
                     row += [k] * len(found)
                     term += found
                     places += found.values()
@@ -210,12 +211,18 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return first.withColumn("top", F.min("level").over(Window.partitionBy("query"))).where(F.col("level") == F.col("top")).select("query", "id", "score", "rank")
 
 
+def index_for(docs: DataFrame, id_col: str, text_col: str, requests: DataFrame, query_col: str = "query", request_col: str = "request", most: int = 100_000) -> DataFrame:
+    """The part of an index that these requests need: of each text only their terms, if these are ``most`` or fewer, so little of a text leaves its
+    scan; else the whole index. Runs a job on the requests at once."""
+    terms = asked_terms(requests, query_col, request_col).select("term").distinct().limit(most + 1).collect()
+    return index(docs, id_col, text_col, frozenset(r[0] for r in terms) if len(terms) <= most else None)
+
+
 def search_texts(docs: DataFrame, request: str, k: int, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``score``, ``rank`` of the ``k`` densest rows for one request, or else for its fallback, without an index: of each text only the
     places of the request's stems are kept."""
-    wanted = frozenset(t for clauses in (parse(request), parse(fallback(request))) for clause in clauses for _, terms in clause for t, _ in terms)
     one = docs.sparkSession.createDataFrame([(0, request)], "query int, request string")
-    return ranked(matches(index(docs, id_col, text_col, wanted), one), k).drop("query")
+    return ranked(matches(index_for(docs, id_col, text_col, one), one), k).drop("query")
 
 
 # The same in SQL, for DuckDB. Requests are given in parts: (query, clause, part, denied, words with their distances).

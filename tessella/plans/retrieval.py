@@ -20,7 +20,8 @@ def _requests(spark):
 
 
 def _found(spark, d):
-    return fulltext.matches(fulltext.index(table(spark, d, "documents"), "doc_id", "text"), _requests(spark))
+    requests = _requests(spark)
+    return fulltext.matches(fulltext.index_for(table(spark, d, "documents"), "doc_id", "text", requests), requests)
 
 
 _MATCHES = fulltext.matches_sql(REQUESTS, "documents", "doc_id", "text")
