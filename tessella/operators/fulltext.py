@@ -138,7 +138,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] |
                     row += [k] * len(found)
                     term += found
                     places += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), part.column(0).take(pa.array(row)), pa.array(places, pa.list_(pa.int32()))], names=["term", "id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), part.column(0).take(pa.array(row, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["term", "id", "at"])
                 at = end
 
     return rows.mapInArrow(told, f"term string, id {rows.schema['id'].dataType.simpleString()}, at array<int>")
