@@ -18,7 +18,7 @@ from tessella.plans.catalogue import PART_COLUMNS, PARTS, query
 from tessella.plans.requests import Tool, run_tool
 from tessella.sources import extract, readers
 from tessella.sources.readers import scratch_folder, table, until_exit
-from tessella.streaming import buckets, ingest
+from tessella.streaming import buckets, ingest, journals
 
 # Files
 
@@ -151,6 +151,39 @@ def stream_touched(spark, d):
     return buckets.current(spark, f"{path}/table").select("user_id", "value", "event_id")
 
 
+_FORUM = "CAST(CAST(floor({} / 5) AS BIGINT) AS VARCHAR)"
+_STORED = "o_orderdate < TIMESTAMP '2001-07-01 00:00:00'"
+
+
+@query(f"""WITH threads AS (SELECT CAST(c_custkey AS VARCHAR) AS node, {_FORUM.format("c_custkey")} AS parent, count(o_orderkey) AS expected, count(o_orderkey) FILTER (WHERE {_STORED}) AS seen
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2), forums AS (SELECT parent AS node, bool_and(seen = expected) AS done FROM threads GROUP BY 1),
+waiting AS (SELECT CAST(p_partkey AS VARCHAR) AS node, {_FORUM.format("p_partkey")} AS forum FROM part WHERE p_size < 45 AND {_FORUM.format("p_partkey")} NOT IN (SELECT node FROM forums WHERE done))
+SELECT 'product' AS level, node FROM waiting UNION ALL SELECT DISTINCT 'forum' AS level, forum AS node FROM waiting
+UNION ALL SELECT 'thread' AS level, node FROM threads WHERE seen < expected AND parent IN (SELECT forum FROM waiting)""")
+def journals_resumed(spark, d):
+    """Where a crawl of three levels goes on. Orders are comments of their customers' threads, five customers are a forum, parts are products. The last
+    month's comments are not stored yet, some are stored twice, and the streams stop and start again between the halves."""
+    path, forum = scratch_folder(spark, "journals"), lambda key: F.floor(F.col(key) / 5).cast("string")
+    orders = table(spark, d, "orders")
+    stored = orders.where(F.col("o_orderdate") < F.lit("2001-07-01").cast("timestamp")).select(F.col("o_custkey").cast("string").alias("parent"), F.col("o_orderkey").cast("string").alias("node"), "o_orderstatus")
+    sizes = orders.groupBy("o_custkey").agg(F.count("*").alias("children"))
+    customers = table(spark, d, "customer")
+    threads = customers.join(sizes, F.col("c_custkey") == F.col("o_custkey"), "left").select(F.col("c_custkey").cast("string").alias("node"), forum("c_custkey").alias("parent"), F.coalesce("children", F.lit(0)).alias("children"))
+    threads.write.parquet(f"{path}/threads")
+    threads = spark.read.parquet(f"{path}/threads")
+    threads.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children")).withColumn("parent", F.lit(None).cast("string")).write.parquet(f"{path}/forums")
+    stream = lambda name, schema: spark.readStream.schema(schema).parquet(f"{path}/{name}")
+    for half in (F.col("o_orderstatus") != "O", F.lit(True)):  # the second holds all, so the first half's rows come twice
+        stored.where(half).select("parent", "node").write.mode("append").parquet(f"{path}/comments")
+        levels = (("threads", stream("comments", journals.DONE)), ("forums", None))
+        for name, children in levels:
+            children = children or journals.journal_stream(spark, f"{path}/threads_done")
+            journals.run_level(children, stream(name, "node string, parent string, children long"), f"{path}/{name}_done", f"{path}/{name}_checkpoint").awaitTermination()
+    until_exit(spark, path)
+    products = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.when(F.col("p_size") < 45, forum("p_partkey")).alias("forum"))
+    return journals.still_open(products, threads, journals.journal_table(spark, f"{path}/forums_done"), journals.journal_table(spark, f"{path}/threads_done"))
+
+
 # Pages
 
 _YEAR = "1950 + p_size"
