@@ -35,16 +35,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def _closed(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One node: what it has seen so far, and itself once that is all it announced."""
     seen, expected, parent, closed = state.get if state.exists else (0, None, None, False)
-    for rows in parts:
-        seen += int(rows["seen"].sum())
-        told = rows[rows["expected"].notna()]
-        for most, above in zip(told["expected"], told["parent"]):
-            above = None if pd.isna(above) else above
-            if expected is None or (int(most), above or "") > (expected, parent or ""):
+    for rows in parts:  # a row for each task and Arrow batch with children, and one for each announcement
+        for more, most, above in zip(*(rows[c].to_numpy() for c in ("seen", "expected", "parent"))):
+            seen += int(more)
+            if most == most and (expected is None or (int(most), above or "") > (expected, parent or "")):  # not NaN: announced
                 expected, parent = int(most), above
     if not closed and expected is not None and seen >= expected:
         closed = True
-        yield pd.DataFrame({"parent": [parent], "node": [key[0]]}, dtype=object)
+        yield pd.DataFrame({"parent": [parent], "node": [key[0]]})
     state.update((seen, expected, parent, closed))
 
 
