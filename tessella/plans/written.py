@@ -361,6 +361,26 @@ def family_context(spark, d):
     return context.select("known_recalls_total", recent.alias("recent"), F.col("used_price_estimate.price_median").cast("int").alias("price_median"), F.col("used_price_estimate.n_listings").cast("int").alias("n_listings"))
 
 
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS url, CASE WHEN p_size <= 25 THEN p_brand ELSE p_brand || ' new' END AS brand, CASE WHEN p_size % 3 = 0 THEN CAST(p_size AS DOUBLE) ELSE p_retailprice END AS displacement_ccm,
+CASE WHEN p_size < 10 THEN 100 + p_size END AS weight_kg, p_type <> 'ECONOMY' AS in_family FROM part""")
+def products_loaded(spark, d):
+    """Two loads of products: brands of the first stay, sizes follow the second. A displacement of zero gives way to the listing's; weights come from the sheet."""
+    part, nothing = table(spark, d, "part"), F.lit(None)
+    sheet = F.create_map(F.lit("Dry weight"), F.when(F.col("p_size") < 10, F.concat((F.col("p_size") + 100).cast("string"), F.lit(".0 kg (x pounds)"))).otherwise("?"))
+    sizes = {f: nothing.cast("double").alias(f) for f in loads.SPEC_LABELS if f != "displacement_ccm"}
+    page = F.when(F.col("p_type") != "ECONOMY", F.concat(F.lit("/d/"), "p_brand"))
+
+    def rows(brand, displacement):
+        named = (F.col("p_partkey").cast("string").alias("url"), brand.alias("brand"), F.col("p_name").alias("model"), (F.col("p_size") + 1950).alias("year"), F.col("p_type").alias("category"))
+        return part.select(*named, page.alias("discussion_url"), F.col("p_size").alias("listed_ccm"), sheet.alias("raw_specs"), F.col("p_partkey").alias("position"), displacement.alias("displacement_ccm"), *sizes.values())
+
+    fields = ", ".join(f"{f} double" for f in loads.SPEC_LABELS)
+    empty = spark.createDataFrame([], f"url string, brand string, model string, year int, category string, category_fr string, msrp_eur double, family_id long, {fields}, raw_specs map<string,string>")
+    old = loads.load_products(empty, rows(F.col("p_brand"), F.col("p_retailprice") * 2).where("listed_ccm <= 25"))
+    new = loads.load_products(old, rows(F.concat("p_brand", F.lit(" new")), F.when(F.col("p_size") % 3 == 0, F.lit(0.0)).otherwise(F.col("p_retailprice"))))
+    return new.select("url", "brand", "displacement_ccm", F.col("weight_kg").cast("int").alias("weight_kg"), F.col("family_id").isNotNull().alias("in_family"))
+
+
 @query("""WITH r AS (SELECT l_orderkey, l_linenumber, p_brand AS f, replace(p_name, 'e', '''') AS t, CASE WHEN l_linenumber < 5 THEN CAST(l_linenumber AS VARCHAR) END AS day, l_suppkey % 3 AS a, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS pos FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand <> 'Brand#11'),
 u AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY f, a, day, t ORDER BY pos) = 1),
 o AS (SELECT f, t FROM u WHERE a = 0 AND day = '1' QUALIFY count(*) OVER (PARTITION BY f) >= 3), k AS (SELECT * FROM u QUALIFY count(*) OVER (PARTITION BY f) >= 3)
