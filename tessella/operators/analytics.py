@@ -32,6 +32,8 @@ def quantile_cells(df: DataFrame, outer: str, inner: str, value: str, extra: str
 
     Equal values of a cell are counted before they meet. A running count along the sorted values then says which of them
     stand at a quantile's two ranks, so no task holds a cell's values: they pass by in order, one row for each distinct value.
+    Between two values the lower one's share is added before it is rounded, as the SQL does: a quartile that is a whole number is not
+    cut to the one below.
     """
     each = df.where(F.col(inner).isNotNull()).select(F.col(outer).alias("o"), F.col(inner).alias("i"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col(value).cast("double").alias("v")), F.struct(F.lit(1).alias("kind"), F.col(extra).cast("double").alias("v")))).alias("x"))
     counted = each.select("o", "i", "x.*").groupingSets([["o", "i", "kind", "v"], ["o", "kind", "v"]], "o", "i", "kind", "v").agg(F.grouping("i").cast("int").alias("level"), F.count("*").alias("n"))
@@ -43,7 +45,9 @@ def quantile_cells(df: DataFrame, outer: str, inner: str, value: str, extra: str
         place = F.lit(share) * (F.col("total") - 1)
         rank = lambda r: F.min(F.when((F.col("kind") == kind) & (F.col("upto") > r), F.col("v")))
         low, high, part = rank(F.floor(place)), rank(F.ceil(place)), F.max(F.when(F.col("kind") == kind, place - F.floor(place)))
-        return F.when((part == 0) | (low == high), low).otherwise((1 - part) * low + part * high).cast("long")
+        told = [F.coalesce(c, F.lit(0.0)) for c in (low, 1 - part, part * high)]  # a call takes no nulls
+        between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), *told).cast("double")
+        return F.when(low.isNotNull(), F.when((part == 0) | (low == high), low).otherwise(between)).cast("long")
 
     out = counted.groupBy("o", "i", "level").agg(
         F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("n"), at(0, 0.25).alias("p25"), at(0, 0.5).alias("median"), at(0, 0.75).alias("p75"), at(1, 0.5).alias("median_extra")

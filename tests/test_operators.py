@@ -204,6 +204,15 @@ def test_quantiles_restated(spark):
     assert got == want
 
 
+def test_quantiles_that_are_whole_numbers_are_not_cut_below(spark):
+    import duckdb
+
+    values = [1.0, 2.0, 1365.6, 1375.1999999999998]
+    df = spark.createDataFrame([("a", 1, v, v) for v in values], "o string, i int, v double, e double")
+    want = duckdb.execute("SELECT CAST(trunc(quantile_cont(v, 0.75)) AS BIGINT) FROM unnest(?) t(v)", [values]).fetchall()[0][0]
+    assert {r.p75 for r in analytics.quantile_cells(df, "o", "i", "v", "e").collect()} == {want} == {1368}
+
+
 def test_truthy_arguments_and_used_calls(spark):
     calls = [{"name": "find", "args": {"a": "0", "b": "True", "c": " ", "d": "none"}}]
     df = spark.createDataFrame([(calls,), ([],)], "calls array<struct<name:string,args:map<string,string>>>")
