@@ -249,13 +249,17 @@ UNION ALL SELECT source_id, row_id, p_type, o, 3, -len(t) FROM cand WHERE len(t)
 best AS (SELECT *, rank() OVER (PARTITION BY source_id ORDER BY o, p, sc) AS k FROM pass)"""
 
 
-def _matches(spark, d, offsets=(0, -1, 1)):
+def _match_sides(spark, d):
     part = table(spark, d, "part")
     name = F.when(F.col("p_partkey") % 4 == 0, F.col("p_name")).when(F.col("p_partkey") % 4 == 1, F.concat_ws(" ", "p_name", "p_brand"))
     name = name.when(F.col("p_partkey") % 4 == 2, F.concat("p_name", F.lit(" 650"))).otherwise(F.concat("p_name", F.lit(" deluxe "), "p_brand", F.lit(" 7")))
     source = part.select(F.col("p_partkey").alias("source_id"), tokens(name).alias("source_tokens"), (F.col("p_size") + F.col("p_partkey") % 3 - 1).alias("source_year"))
-    rows = part.select(F.col("p_partkey").alias("row_id"), tokens(F.concat_ws(" ", "p_brand", "p_name")).alias("row_tokens"), F.col("p_size").alias("row_year"))
-    return matching.match_by_tokens(source, rows, offsets)
+    rows = part.select(F.col("p_partkey").alias("row_id"), tokens(F.concat_ws(" ", "p_brand", "p_name")).alias("row_tokens"), F.col("p_size").alias("row_year"), "p_type")
+    return source, rows
+
+
+def _matches(spark, d, offsets=(0, -1, 1)):
+    return matching.match_by_tokens(*_match_sides(spark, d), offsets)
 
 
 for _number, _name in ((1, "match_forward"), (2, "match_no_suffix"), (3, "match_reverse")):
@@ -270,8 +274,7 @@ def match_year_offset(spark, d):
 
 @query(f"WITH {_MATCH_SOURCE} SELECT source_id, min(p_type) AS p_type FROM best WHERE k = 1 GROUP BY source_id HAVING count(DISTINCT p_type) = 1")
 def match_ambiguity(spark, d):
-    kinds = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), "p_type")
-    return matching.unambiguous(_matches(spark, d).join(kinds, "row_id"), "p_type")
+    return matching.match_unambiguous(*_match_sides(spark, d), "p_type")
 
 
 @query("""SELECT a.p_partkey AS source_id, b.p_partkey AS row_id FROM part a JOIN part b ON a.p_brand = b.p_brand WHERE contains(regexp_replace(lower(a.p_name || a.p_type), '[^a-z0-9]', '', 'g'), split_part(lower(b.p_name), ' ', 1))

@@ -89,6 +89,17 @@ def test_matching_restated(spark):
     assert matching.match_by_tokens(s.limit(0), r).count() == matching.match_by_tokens(s, r.limit(0)).count() == 0
 
 
+def test_matches_of_copies_meet_once(spark, tmp_path):
+    spark.range(600).selectExpr("id AS source_id", "array(concat('n', id % 3), 'cb') AS source_tokens", "cast(2000 + id % 2 AS int) AS source_year").write.parquet(f"{tmp_path}/s")
+    spark.range(900).selectExpr("id AS row_id", "array('cb', concat('n', id % 3), concat('v', id % 5)) AS row_tokens", "cast(2000 + id % 2 AS int) AS row_year", "if(id % 3 = 0, 'a', concat('p', id % 5)) AS kind").write.parquet(f"{tmp_path}/r")
+    s, r = spark.read.parquet(f"{tmp_path}/s"), spark.read.parquet(f"{tmp_path}/r")
+    matches = matching.match_by_tokens(s, r)
+    assert "Broadcast" not in matches._jdf.queryExecution().executedPlan().toString()  # long tables of few columns look small
+    assert matches.count() == 600 * 150  # by name and year
+    one = sorted(map(tuple, matching.match_unambiguous(s, r, "kind").collect()))
+    assert one == sorted(map(tuple, matching.unambiguous(matches.join(r.select("row_id", "kind"), "row_id"), "kind").collect())) == [(k, "a") for k in range(0, 600, 3)]
+
+
 def test_merges(spark):
     old = spark.createDataFrame([(1, 5, "a"), (None, 1, "n")], "k int, v int, w string")
     new = spark.createDataFrame([(1, 3, None), (2, 9, "b"), (None, 2, "m")], "k int, v int, w string")
