@@ -105,12 +105,13 @@ def load_list_prices(products: DataFrame, pages: DataFrame) -> DataFrame:
     brand = reduce(lambda c, a: F.when(F.col("brand") == a[0], a[1]).otherwise(c), BRAND_ALIASES.items(), F.col("brand"))
     source = pages.select(F.col("position").alias("source_id"), tokens(F.concat_ws(" ", brand, "model")).alias("source_tokens"), F.col("year").alias("source_year"))
     matches = matching.match_by_tokens(source, _product_tokens(products))
-    updates = matches.select(F.col("source_id").alias("position"), F.col("row_id").alias("id")).join(pages.select("position", F.col("price_eur").cast("double").alias("msrp_eur"), "category_fr"), "position")
+    said = pages.select("position", F.col("price_eur").cast("double").alias("msrp_eur"), "category_fr")
+    updates = matches.select(F.col("source_id").alias("position"), F.col("row_id").alias("id")).hint("merge").join(said.hint("merge"), "position")
     return merge.apply_updates(products, merge.last_writer(updates, ["id"], ["msrp_eur", "category_fr"], F.col("position")), ["id"], ["msrp_eur", "category_fr"])
 
 
-def _product_tokens(products: DataFrame) -> DataFrame:
-    return products.select(F.col("id").alias("row_id"), tokens(F.concat_ws(" ", "brand", "model")).alias("row_tokens"), F.col("year").alias("row_year"))
+def _product_tokens(products: DataFrame, *more: str) -> DataFrame:
+    return products.select(F.col("id").alias("row_id"), tokens(F.concat_ws(" ", "brand", "model")).alias("row_tokens"), F.col("year").alias("row_year"), *more)
 
 
 def new_recalls(old: DataFrame, records: DataFrame, families: DataFrame) -> DataFrame:
@@ -146,7 +147,7 @@ def used_prices(listings: DataFrame, products: DataFrame, snapshot_year: int) ->
     owned = products.where(F.col("family_id").isNotNull())
     name = F.concat_ws(" ", "make_model", "version")
     source = rows.select(F.col("position").alias("source_id"), tokens(name).alias("source_tokens"), F.col("reg_year").alias("source_year"))
-    matches = matching.match_by_tokens(source, _product_tokens(owned), LISTING_OFFSETS).join(owned.select(F.col("id").alias("row_id"), "family_id"), "row_id")
-    placed = matching.unambiguous(matches, "family_id").select(F.col("source_id").alias("position"), "family_id").join(rows, "position")
+    found = matching.match_unambiguous(source, _product_tokens(owned, "family_id"), "family_id", LISTING_OFFSETS)
+    placed = found.select(F.col("source_id").alias("position"), "family_id").hint("merge").join(rows.hint("merge"), "position")
     cells = analytics.quantile_cells(placed, "family_id", "reg_year", "price", "mileage")
     return cells.select("family_id", "reg_year", F.col("n").alias("n_listings"), F.col("median").alias("price_median"), F.col("p25").alias("price_p25"), F.col("p75").alias("price_p75"), F.col("median_extra").alias("mileage_median"), F.lit(snapshot_year).alias("snapshot_year"))

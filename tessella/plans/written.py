@@ -410,7 +410,7 @@ def list_prices_loaded(spark, d):
     products = part.groupBy(F.col("p_brand").alias("brand"), F.col("p_name").alias("model"), (F.col("p_size") + 1900).alias("year")).agg(F.min("p_partkey").alias("id"))
     every = products.withColumns({"msrp_eur": F.lit(None).cast("double"), "category_fr": F.lit(None).cast("string")})
     pages = part.select(F.col("p_brand").alias("brand"), F.col("p_name").alias("model"), (F.col("p_size") + 1900 - 10 * (F.col("p_size") % 2)).alias("year"), F.nullif(F.col("p_partkey") % 9, F.lit(0)).alias("price_eur"), F.when(F.col("p_type") != "PROMO", F.col("p_type")).otherwise("").alias("category_fr"), F.col("p_partkey").alias("position"))
-    exact = pages.join(products.select("brand", "model", "year"), ["brand", "model", "year"], "left_semi")
+    exact = pages.hint("merge").join(products.select("brand", "model", "year").hint("merge"), ["brand", "model", "year"], "left_semi")
     return loads.load_list_prices(every, exact).select("id", "msrp_eur", "category_fr")
 
 
