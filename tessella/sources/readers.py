@@ -13,6 +13,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """``rows`` dealt by the columns ``by`` over as many tasks as a shuffle has, for work that is long for its bytes: a small file is read
+    by one task, and Spark joins shuffled parts of few bytes into one."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *by)
+
+
 def json_lines(spark: SparkSession, path: str | list[str], schema: StructType | str) -> DataFrame:
     """JSON Lines; a line that is no JSON is dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
@@ -41,7 +48,10 @@ def archive_lines(archives: DataFrame) -> DataFrame:
 
     import pyarrow as pa
 
+    names = ["path", "member", "line"]
+
     def lines(batches):
+        held, size = [], 0
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if not data.is_valid:
@@ -50,8 +60,13 @@ def archive_lines(archives: DataFrame) -> DataFrame:
                     for member in archive.namelist():
                         with archive.open(member) as f:
                             while part := f.readlines(1 << 20):
-                                text = [x.rstrip(b"\r\n").decode("latin-1") for x in part]
-                                yield pa.RecordBatch.from_arrays([pa.array([name] * len(text)), pa.array([member] * len(text)), pa.array(text, pa.string())], names=["path", "member", "line"])
+                                held += [(name, member, x.rstrip(b"\r\n").decode("latin-1")) for x in part]
+                                size += sum(map(len, part))
+                                if size >= 1 << 20 or len(held) >= 10_000:  # small archives share a batch
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=names)
+                                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*held)], names=names)
 
     return archives.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(lines, "path string, member string, line string")
 

@@ -69,6 +69,11 @@ def test_filters_reach_the_scan(spark):
     assert "GreaterThanOrEqual(p_size,10)" in plan and "TakeOrderedAndProject" in plan
 
 
+@pytest.mark.parametrize("name", ["closest_length_resolve", "match_forward", "spec_pages", "listing_pages", "zipped_rows", "priced_pages", "mention_resolution"])
+def test_long_work_on_a_small_file_is_dealt(spark, name):
+    assert QUERIES[name](spark, SF).rdd.getNumPartitions() >= 8
+
+
 #: Joins with a side of one row, or with the fifty rows of a ranked list.
 NESTED = {"dense_negative_control": 1, "rrf_fusion": 1, "rrf_rounded": 1, "hybrid_topk": 1, "integrity_totals": 2, "catalogue_totals": 2, "family_context": 4, "substring_interval_join": 1, "recalls_inserted": 2}
 
