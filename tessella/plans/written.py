@@ -17,7 +17,7 @@ from tessella.plans import loads, tools
 from tessella.plans.catalogue import PART_COLUMNS, PARTS, query
 from tessella.plans.requests import Tool, run_tool
 from tessella.sources import extract, readers
-from tessella.sources.readers import scratch_folder, table, until_exit
+from tessella.sources.readers import scratch_folder, spread, table, until_exit
 from tessella.streaming import buckets, ingest, journals
 
 # Files
@@ -36,7 +36,7 @@ _LINES = "CASE WHEN p_partkey % 7 = 0 THEN 'short' || chr(9) || p_name ELSE 'x'
 
 
 def _lines(spark, d):
-    part, tab = table(spark, d, "part"), F.lit("\t")
+    part, tab = spread(table(spark, d, "part"), "p_partkey"), F.lit("\t")
     whole = F.concat(F.lit("x"), tab, F.col("p_partkey").cast("string"), tab, F.concat("p_name", F.lit(" é")), tab, "p_brand")
     return part.select(F.when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("short"), tab, "p_name")).otherwise(whole).alias("line"))
 
@@ -191,7 +191,7 @@ _YEAR = "1950 + p_size"
 
 @query(f"SELECT split_part(p_name, ' ', 1) AS brand, substr(p_name, strpos(p_name, ' ') + 1) AS model, CAST({_YEAR} AS INT) AS \"year\", p_type AS category, p_size || ' ccm' AS engine_text, '/p/' || p_partkey AS url FROM part")
 def listing_pages(spark, d):
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     cells = F.concat(F.lit("<td><a href='/p/"), "p_partkey", F.lit("'>"), "p_name", F.lit("</a></td><td>"), "p_type", F.lit("</td><td>?</td><td>"), "p_size", F.lit(" ccm</td>"))
     html = F.concat(F.lit("<table><tr><td>menu</td></tr></table><table><tr><th>Name</th></tr><tr>"), cells, F.lit("</tr><tr><td>no link</td><td>a</td><td>b</td><td>c</td></tr></table>"))
     return extract.extract_listings(part.select((F.col("p_size") + 1950).alias("year"), html.alias("html")))
@@ -200,7 +200,7 @@ def listing_pages(spark, d):
 @query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS displacement_ccm, CAST(p_size + 1 AS DOUBLE) AS weight_kg, CASE WHEN p_size % 2 = 0 THEN p_size / 2 END AS power_hp, p_name AS colour FROM part")
 def spec_pages(spark, d):
     """Sheets with a plain cell, an encoded one, an entity and a repeated label."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     coded = F.base64(F.encode(rot13(F.concat(F.lit('"'), "p_size", F.lit(' <span style=\\"display: none\\">no</span>ccm<!-- no -->"'))), "utf-8"))
     code = F.regexp_replace(coded, r"\s", "")
     row = lambda label, value: F.concat(F.lit(f"<tr><td><b>{label}</b></td><td>"), value, F.lit("</td></tr>"))
@@ -248,7 +248,7 @@ def sitemap_pages(spark, d):
 CASE WHEN p_size % 4 > 0 THEN p_size * 1000 + 5 END AS price_eur, CASE WHEN p_size % 5 > 0 THEN p_type || ' é' END AS category_fr FROM part""")
 def priced_pages(spark, d):
     """Pages with and without a shown name, a price and a badge."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     size, year = F.col("p_size"), (F.col("p_size") + 1950).cast("string")
     url = F.concat(F.lit("https://shop.example/"), F.replace(F.lower("p_brand"), F.lit("#"), F.lit("-")), F.lit("/"), F.col("p_partkey").cast("string"), F.lit("/"), F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("-"), year, F.lit("/contact.html"))
     name = F.when(size % 3 == 0, "").otherwise(F.concat(F.lit("<h2>Quel est le prix de la Le "), "p_name", F.lit(" &amp; Co "), year, F.lit(" ?</h2>")))
@@ -263,7 +263,7 @@ m AS (SELECT p_partkey AS mention_id, regexp_replace(lower(p_name), '[^a-z0-9]',
 SELECT mention_id, name_id FROM (SELECT mention_id, name_id, rank() OVER (PARTITION BY mention_id ORDER BY abs(length(name) - length(mention))) AS k FROM m JOIN n ON (m.y IS NULL OR m.y = n.y) AND (contains(name, mention) OR contains(mention, name))) WHERE k = 1""")
 def mention_resolution(spark, d):
     """What answers name, in bold or as list items, with or without a year, and the products that come closest."""
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     year = (F.col("p_size") + 1950).cast("string")
     item = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("take the **"), "p_name", F.lit("**: fine"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("1. "), "p_name", F.lit(" "), year, F.lit("."))).otherwise(F.concat(F.lit("- "), "p_name", F.lit(" Pro ("), year, F.lit(")")))
     answers = part.select("p_partkey", F.concat(F.lit("Well,\n"), item, F.lit("\n- Weight: 100 kg\n- Price 5 000\n**Note**")).alias("text"))
