@@ -137,8 +137,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _FOUND = "struct<n_words:long,spans:array<struct<start:long,end:long>>,items:array<string>>"
 
 
-def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema, shard_symbols: int) -> Iterator[pa.RecordBatch]:
-    """Rows (row, text, found) with what this block of phrases finds merged into found; the schema's columns are returned."""
+def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema, shard_symbols: int, inside: int | None) -> Iterator[pa.RecordBatch]:
+    """Rows (row, text, found) with what this block of phrases finds merged into found; the schema's columns are returned. The text can be
+    the field ``inside`` of the row instead, so that it is not sent twice."""
     shard, held, size = _Shard(phrases), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -156,11 +157,11 @@ def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             n_words = []
-            for text in part.column("text"):
+            for text in part.column("text") if inside is None else part.column("row").field(inside).cast(pa.binary()):
                 words = words_of(text.as_py())
                 n_words.append(len(words))
                 shard.add(words)
-            held.append((part.select(schema.names), n_words))
+            held.append((part.select(schema.names).take(pa.array(range(part.num_rows), pa.int64())), n_words))  # a copy: a slice would keep its whole batch, texts included
             size += held[-1][0].nbytes
             if shard.size >= shard_symbols or shard.docs >= SHARD_DOCS or size >= SHARD_BYTES:
                 yield from flush()
@@ -168,8 +169,8 @@ def _pass(batches: Iterator[pa.RecordBatch], phrases: Phrases, schema: pa.Schema
     yield from flush()
 
 
-def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, shard_symbols: int) -> DataFrame:
-    """``row``, ``found`` for every row of ``rows`` (row, text)."""
+def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, block_words: int, shard_symbols: int, inside: int | None = None) -> DataFrame:
+    """``row``, ``found`` for every row of ``rows`` (row, text), or (row) where the text is its field ``inside``."""
     spark = rows.sparkSession
     pairs = stored(window_items(benchmark, item_col, item_text_col, window), "windows")
     blocks = max(1, -(-pairs.count() * window // block_words))
@@ -185,8 +186,8 @@ def _searched(rows: DataFrame, benchmark: DataFrame, item_col: str, item_text_co
             mine.setdefault(tuple(bytes(r.window).split()), set()).update(() if r["item"] is None else (r["item"],))
         phrases = spark.sparkContext.broadcast(Phrases(mine))
         last = block == blocks - 1
-        wanted = pa.schema([("row", pa.null()), *([] if last else [("text", pa.binary())]), found])
-        rows = rows.mapInArrow(lambda it, p=phrases, s=wanted: _pass(it, p.value, s, shard_symbols), f"{kind}, {'' if last else 'text binary, '}found {_FOUND}")
+        wanted = pa.schema([("row", pa.null()), *([] if last or inside is not None else [("text", pa.binary())]), found])
+        rows = rows.mapInArrow(lambda it, p=phrases, s=wanted: _pass(it, p.value, s, shard_symbols, inside), f"{kind}, {'text binary, ' if 'text' in wanted.names else ''}found {_FOUND}")
         if not last:
             path = fresh_path(spark, "searched")
             rows = stored(rows, "searched", path)
@@ -221,8 +222,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Null and wordless texts stay; columns may have any names.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(whole.alias("row"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols)
+    held = text_col in docs.columns and docs.schema[text_col].dataType.simpleString() in ("string", "binary")
+    rows = docs.select(whole.alias("row"), *([] if held else [F.col(text_col).cast("string").cast("binary").alias("text")]))
+    out = _searched(rows, benchmark, item_col, item_text_col, window, block_words, shard_symbols, docs.columns.index(text_col) if held else None)
     n_hit = _n_hit("found.spans")
     clean = out.where(~((n_hit > 0) & (100 * n_hit >= percent * F.col("found.n_words"))))
     return clean.select("row.*")

@@ -9,11 +9,12 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import duckdb
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tessella.llm import divergence, language, queries, repair, secrets, toxicity, tree_bpe
+from tessella.llm import decontaminate, divergence, language, queries, repair, secrets, toxicity, tree_bpe
 
 SF = "/root/testdata/sf0.01"
 
@@ -352,3 +353,15 @@ def test_frequent_features_of_either_label_tell(spark, toxic):
     model = toxicity.train_severity_model(same, labels)
     scores = {round(r.score, 6) for r in toxicity.score_severity(same, model).collect()}
     assert scores == {toxic / 100} and list(model.thresholds) == sorted(model.thresholds)
+
+
+def test_a_shard_keeps_copies_of_its_rows_and_texts_go_once():
+    text = "word " * 400
+    found = pa.array([{"n_words": 0, "spans": [], "items": []}] * 2000, pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))]))
+    rows = pa.array([{"doc_id": k, "text": text} for k in range(2000)])
+    phrases = decontaminate.Phrases({(b"a", b"b"): {"1"}})
+    schema = pa.schema([("row", pa.null()), ("found", found.type)])
+    batches = iter([pa.RecordBatch.from_arrays([rows, found], names=["row", "found"])])
+    first = next(decontaminate._pass(batches, phrases, schema, 1 << 17, 1))
+    assert first.column("found")[0].as_py()["n_words"] == 400 and first.num_rows == 256
+    assert first.column("row").field(1).buffers()[2].size < 2 * 256 * len(text)  # not the batch's
