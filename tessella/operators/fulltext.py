@@ -109,6 +109,17 @@ def fulfilled(clauses: tuple[Clause, ...], found: dict[str, list[int]]) -> bool:
     return any(all(denied != bool(occurrences(terms, found)) for denied, terms in clause) for clause in clauses)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, list[str | None]]]:
+    """The ids and texts of a batch, in parts of ``SLICE`` bytes of text or one row."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(size.searchsorted((size[at - 1] if at else 0) + SLICE, side="right")))
+        part = batch.slice(at, end - at)
+        yield part.column(0), part.column(1).to_pylist()
+        at = end
+
+
 def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] | None = None) -> DataFrame:
     """``term``, ``id``, ``at`` (sorted places from 1) of every stem of every row and the term ``ANY_ROW`` of every row, or of those terms that are ``wanted``.
 
@@ -119,13 +130,9 @@ def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] |
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).cumsum()
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(size.searchsorted((size[at - 1] if at else 0) + SLICE, side="right")))
-                part = batch.slice(at, end - at)
+            for ids, texts in slices(batch):
                 row, term, places = [], [], []
-                for k, text in enumerate(part.column(1).to_pylist()):
+                for k, text in enumerate(texts):
                     found: dict[str, list[int]] = {}
                     place = 0
                     for place, word in enumerate(words(text or ""), 1):
@@ -138,8 +145,7 @@ def index(docs: DataFrame, id_col: str, text_col: str, wanted: frozenset[str] |
                     row += [k] * len(found)
                     term += found
                     places += found.values()
-                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), part.column(0).take(pa.array(row, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["term", "id", "at"])
-                at = end
+                yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), ids.take(pa.array(row, pa.int64())), pa.array(places, pa.list_(pa.int32()))], names=["term", "id", "at"])
 
     return rows.mapInArrow(told, f"term string, id {rows.schema['id'].dataType.simpleString()}, at array<int>")
 

@@ -176,3 +176,29 @@ def test_rounding_is_that_of_python(spark):
     got = spark.createDataFrame([(v,) for v in values], "v double").select("v", *[round_exact(F.col("v"), d).alias(f"r{d}") for d in (0, 2, 5, 9)]).collect()
     for r in got:
         assert [r.r0, r.r2, r.r5, r.r9] == ([round(r.v, d) for d in (0, 2, 5, 9)] if abs(r.v) < 8 else [None] * 4), r.v
+
+
+def test_a_posting_is_never_a_stored_row_and_blocks_are_whole(spark, tmp_path, monkeypatch):
+    rnd, sizes, plain = random.Random(9), {}, bm25._stored
+
+    def counted(df, name):
+        out = plain(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(bm25, "_stored", counted)
+    rows = [(f"d{k}", " ".join(f"w{rnd.randrange(40)}" for _ in range(30)) + " everywhere") for k in range(700)]
+    docs = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    bm25.build(docs, "id", "text", str(tmp_path / "lists"), block_rows=8)
+    assert sizes and max(sizes.values()) <= len(rows)
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    blocks = lists.where("term = 'everywher'").agg(F.sum("n"), F.max("n"), F.count("*"), F.countDistinct("block")).first()
+    assert blocks[0] == len(rows) and blocks[1] == 8 and blocks[2] == blocks[3]
+    monkeypatch.setattr(bm25, "PAIRS", 2)  # requests go out in several parts
+    asked = spark.createDataFrame([("a", "everywhere"), ("b", "w1 w2 w3"), ("c", "w4 everywhere")], "q string, text string")
+    found, _ = bm25.topk(lists, asked, 9, "q", "text", seeds=2)
+    con = duckdb.connect()
+    con.register("docs", docs.toPandas())
+    con.register("asked", asked.toPandas())
+    want = con.execute(bm25.topk_sql(("docs", "id", "text"), ("asked", "q", "text"), 9)).fetchall()
+    assert sorted(map(tuple, found.select("query", "id", "score", "rank").collect())) == sorted(want) and len(want) == 27
