@@ -19,6 +19,7 @@ from tessella.operators.search import dense_topk
 from tessella.sources.readers import scratch_folder, until_exit
 
 CHUNK = 1024  # vectors of one cell that meet a block of queries at once
+ROWS, AIMED = 512, 64  # vectors, and queries, that meet all centroids at once
 TINY = 1e-7  # a bound is loosened by what rounding can take from an angle
 
 
@@ -33,7 +34,8 @@ def _units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(np.asarray(column.is_valid()))
     if not at.size:
         return at, np.zeros((0, 1))
-    rows = np.array(column.take(pa.array(at)).to_pylist(), np.float64)
+    vectors = column.take(pa.array(at))
+    rows = np.concatenate([np.array(vectors.slice(start, ROWS).to_pylist(), np.float64) for start in range(0, len(at), ROWS)])
     length = np.linalg.norm(rows, axis=1)
     return at[length > 0], rows[length > 0] / length[length > 0, None]
 
@@ -56,8 +58,8 @@ def train(rows: DataFrame, vector_col: str, n_cells: int = 0, sample: int = 100_
             size, sums = np.zeros(len(shared.value), np.int64), np.zeros_like(shared.value)
             for batch in batches:
                 _, units = _units(batch.column(0))
-                for start in range(0, len(units), 4096):
-                    part = units[start : start + 4096]
+                for start in range(0, len(units), ROWS):
+                    part = units[start : start + ROWS]
                     cell = (part @ shared.value.T).argmax(1)
                     size += np.bincount(cell, minlength=len(size))
                     np.add.at(sums, cell, part)
@@ -85,9 +87,12 @@ def build(rows: DataFrame, centroids: np.ndarray, vector_col: str, path: str) ->
             kept, units = _units(batch.column(at))
             if not kept.size:
                 continue
-            near = units @ shared.value.T
-            cell = near.argmax(1)
-            angle = np.arccos(np.clip(near[np.arange(len(cell)), cell], -1, 1))
+            cell, cosine = np.zeros(len(units), np.int64), np.zeros(len(units))
+            for start in range(0, len(units), ROWS):
+                near = units[start : start + ROWS] @ shared.value.T
+                cell[start : start + ROWS] = near.argmax(1)
+                cosine[start : start + ROWS] = near.max(1)
+            angle = np.arccos(np.clip(cosine, -1, 1))
             out = batch.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(cell), pa.array(angle)], names=[*out.schema.names, "cell", "angle"])
 
@@ -181,8 +186,8 @@ def nearest(indexed: DataFrame, queries: DataFrame, centroids: np.ndarray, k: in
     def aimed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, units = _units(batch.column(1))
-            for start in range(0, len(at), 256):
-                angle = np.arccos(np.clip(units[start : start + 256] @ shared.value.T, -1, 1)) if len(shared.value) else np.zeros((len(at[start : start + 256]), 0))
+            for start in range(0, len(at), AIMED):
+                angle = np.arccos(np.clip(units[start : start + AIMED] @ shared.value.T, -1, 1)) if len(shared.value) else np.zeros((len(at[start : start + AIMED]), 0))
                 place = angle.argsort(1).argsort(1)
                 row, cell = np.indices(angle.shape).reshape(2, -1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[start + row])), pa.array(cell), pa.array(angle.reshape(-1)), pa.array(place.reshape(-1))], names=["query_id", "cell", "angle", "place"])

@@ -19,6 +19,7 @@ from tessella.sources.readers import scratch_folder, until_exit
 
 RRF_K = 60
 BLOCK = 4096
+ROWS, TILE = 2048, 256  # rows and queries that a task brings together at once
 
 
 def fetch_size(limit: int, rerank: bool) -> int:
@@ -26,28 +27,35 @@ def fetch_size(limit: int, rerank: bool) -> int:
     return min(max(6 * limit, 20), 50) if rerank else max(3 * limit, 15)
 
 
-def _best_of_partition(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[np.ndarray, np.ndarray]] = []  # best (ids, distances) so far, queries x up to k
+def _nearest(row: np.ndarray, ids: np.ndarray, distance: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest of each ``row``; of equals, the smaller id."""
+    order = np.lexsort((ids, distance, row))
+    row = row[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], ids[order][kept], distance[order][kept]
 
-    def cut(row_ids: np.ndarray, distance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((row_ids, distance), axis=1)[:, :k]
-        return np.take_along_axis(row_ids, order, 1), np.take_along_axis(distance, order, 1)
 
+def _best_of_partition(batches: Iterator[pa.RecordBatch], ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows and queries meet in tiles, so what is held besides the best so far does not grow with their numbers."""
+    held: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # best (query in the tile, id, distance) so far of each tile of queries
     for batch in batches:
-        at = np.flatnonzero(np.asarray(batch.column(1).is_valid()))
-        if not at.size or not ids.size:
-            continue
-        rows = np.array(batch.column(1).take(pa.array(at)).to_pylist(), np.float64)
-        length = np.linalg.norm(rows, axis=1)
-        own = batch.column(0).to_numpy(zero_copy_only=False)[at]
-        own, rows = own[length > 0], rows[length > 0] / length[length > 0, None]
-        for start in range(0, len(own), 2048):
-            distance = 1.0 - queries @ rows[start : start + 2048].T
-            part = (np.broadcast_to(own[start : start + 2048], distance.shape), distance)
-            held = [cut(*(np.concatenate(x, 1) for x in zip(*held, part)))]
-    if held and ids.size:
-        found, distance = held[0]
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, found.shape[1])), pa.array(found.reshape(-1)), pa.array(distance.reshape(-1))], names=["query_id", "id", "distance"])
+        for start in range(0, batch.num_rows, ROWS):
+            part = batch.slice(start, ROWS)
+            at = np.flatnonzero(np.asarray(part.column(1).is_valid()))
+            if not at.size or not ids.size:
+                continue
+            rows = np.array(part.column(1).take(pa.array(at)).to_pylist(), np.float64)
+            length = np.linalg.norm(rows, axis=1)
+            own = part.column(0).to_numpy(zero_copy_only=False)[at][length > 0]
+            rows = rows[length > 0] / length[length > 0, None]
+            for q in range(0, len(ids) if len(own) else 0, TILE):
+                distance = 1.0 - queries[q : q + TILE] @ rows.T
+                far = np.partition(distance, k - 1, axis=1)[:, k - 1 : k] if len(own) > k else np.full((len(distance), 1), np.inf)
+                row, column = np.nonzero(~(distance > far))  # all that are as near as the k-th, then ids decide
+                near = (row, own[column], distance[row, column])
+                held[q] = _nearest(*(np.concatenate(x) for x in zip(held[q], near)), k) if q in held else _nearest(*near, k)
+    for q, (row, found, distance) in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q + row]), pa.array(found), pa.array(distance)], names=["query_id", "id", "distance"])
 
 
 def dense_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:

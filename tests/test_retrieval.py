@@ -202,3 +202,27 @@ def test_a_posting_is_never_a_stored_row_and_blocks_are_whole(spark, tmp_path, m
     con.register("asked", asked.toPandas())
     want = con.execute(bm25.topk_sql(("docs", "id", "text"), ("asked", "q", "text"), 9)).fetchall()
     assert sorted(map(tuple, found.select("query", "id", "score", "rank").collect())) == sorted(want) and len(want) == 27
+
+
+def test_what_a_task_holds_does_not_grow_with_queries_cells_or_rows():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = rng.integers(-2, 3, size=(3000, 8)).astype(np.float32)  # many ties
+    rows[0] = 0
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3000)), pa.array(list(rows), pa.list_(pa.float32()))], names=["id", "v"])
+    queries = rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    found = list(search._best_of_partition(iter([batch.slice(0, 5), batch.slice(5)]), np.arange(4096), queries, 5))
+    assert tracemalloc.get_traced_memory()[1] < 60e6  # all distances of 2048 rows at once are 67 MB alone
+    tracemalloc.stop()
+    got = {}
+    for part in found:
+        for query, id_, distance in zip(*(c.to_pylist() for c in part.columns)):
+            got.setdefault(query, []).append((distance, id_))
+    units = rows[1:].astype(float) / np.linalg.norm(rows[1:].astype(float), axis=1)[:, None]
+    for q in range(0, 4096, 97):
+        want = sorted(zip((1.0 - units @ queries[q]).round(9), range(1, 3000)))[:5]
+        assert [d for d, _ in want] == [round(d, 9) for d, _ in sorted(got[q])] and len(got[q]) == 5
