@@ -226,3 +226,18 @@ def test_what_a_task_holds_does_not_grow_with_queries_cells_or_rows():
     for q in range(0, 4096, 97):
         want = sorted(zip((1.0 - units @ queries[q]).round(9), range(1, 3000)))[:5]
         assert [d for d, _ in want] == [round(d, 9) for d, _ in sorted(got[q])] and len(got[q]) == 5
+
+
+def test_what_is_judged_does_not_become_objects_all_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    hits = [{"term": t, "at": list(range(1, 400))} for t in ("ing", "er")]
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.list_(pa.struct([("term", pa.string()), ("at", pa.list_(pa.int32()))]))]
+    columns = [[1] * 2000, list(range(2000)), ['"ing er"'] * 2000, [hits] * 2000]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], names=["query", "id", "request", "hits"])
+    tracemalloc.start()
+    found = list(fulltext._judged(iter([batch])))
+    assert tracemalloc.get_traced_memory()[1] < 5e6 and sum(b.num_rows for b in found) == 4000  # 1.6 million places as objects are over 12 MB
+    tracemalloc.stop()
