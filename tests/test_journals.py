@@ -124,3 +124,26 @@ def test_open_work_of_each_level(spark, done, expected):
     forums = spark.createDataFrame([(None, f) for f in done], journals.DONE)
     found = journals.still_open(products, threads, forums, spark.createDataFrame([("f", "s")], journals.DONE))
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_nodes_share_calls(spark):
+    calls = spark.sparkContext.accumulator(0)
+    plain = journals._closed
+
+    def counted(key, parts, state):
+        calls.add(1)
+        yield from plain(key, parts, state)
+
+    journals._closed = counted
+    try:
+        crawl = Crawl(spark)
+        crawl.feed("comments", [(f"t{k}", f"c{k}") for k in range(3000)])
+        crawl.feed("threads", [(f"t{k}", f"f{k % 9}", 1 + k % 2) for k in range(3000)])
+        crawl.level("threads")
+    finally:
+        journals._closed = plain
+    assert crawl.done("threads") == plain_done(crawl) and 0 < calls.value <= 2 * journals.GROUPS
+
+
+def plain_done(crawl):
+    return plain(crawl.fed["comments"], crawl.fed["threads"])
